@@ -36,7 +36,7 @@ def test_quality_base(spark, tmp_path):
 
 def test_quality_lines(spark):
     body = "This is a full sentence with many words in it."
-    text = "\n".join(["Home | About us | Contact us", *[f"{body} Number {i} adds variety." for i in range(20)], "All rights reserved 2020 by someone, somewhere.", "Menu"])
+    text = "\n".join(["Home | About us | Contact us", *[f"This line{i} holds a{i} few b{i} words of c{i} variety." for i in range(20)], "All rights reserved 2020 by someone, somewhere.", "Menu"])
     noise = "\n".join([f"link {i}" for i in range(60)] + [body])
     rows = {r.doc_id: r for r in quality_rules.clean(frame(spark, [(1, text, "en", "s", 1, "x"), (2, noise, "en", "s", 1, "x")])).collect()}
     assert set(rows) == {1} and rows[1].text.startswith("This") and rows[1].text.endswith("variety.") and rows[1].n_chars == len(rows[1].text)
