@@ -29,7 +29,7 @@ from talonscan.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a task remembers.
-CACHE = 300_000
+CACHE = 700_000
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARS = 4_000_000
 #: Cuts are safe where a lone space or line break stands between other characters.
@@ -198,6 +198,12 @@ def library_pieces(path: str):
     return lambda parts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=2)
+def task_encoder(path: str, library: bool) -> Encoder:
+    """The encoder of this worker process; its cache serves later tasks too."""
+    return Encoder(library_pieces(path) if library else pair_index(path).encode_pieces)
+
+
 class Encoder:
     """Texts to ids; equal pieces are encoded once."""
 
@@ -242,7 +248,7 @@ def _coded(docs: DataFrame, tokenizer: str | None, columns: str, shape) -> DataF
 
     def run(batches):
         bpe = pair_index(path)
-        encode = Encoder(bpe.encode_pieces)
+        encode = task_encoder(path, False)
         for batch in batches:
             n, a, b = [], [], []
             for ids in encode(batch.column(1).to_pylist()):

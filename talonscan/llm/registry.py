@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from talonscan.llm import chat_format, quality_rules, secrets
+from talonscan.llm import bpe, chat_format, packing, quality_rules, secrets, simhash, token_files
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_bpe": bpe.op2_bpe,
+        "op3_simhash": simhash.op3_simhash,
+        "op4_token_files": token_files.op4_token_files,
+        "op6_packing": packing.op6_packing,
         "op8_chat_format": chat_format.op8_chat_format,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
