@@ -47,6 +47,28 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def complete_groups(batches, least: int, take):
+    """Feeds Arrow rows sorted by their first column to ``take`` as tables of whole groups, of ``least`` rows or more."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= least:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = whole.column(0).to_numpy()
+            cut = int(key.searchsorted(key[-1]))
+            if cut:
+                yield from take(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+            size -= cut
+    if size:
+        yield from take(pa.Table.from_batches(held).combine_chunks())
+
+
 def min_label_components(links: DataFrame) -> DataFrame:
     """Connected components by minimum-label propagation with pointer jumping.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talonscan.llm.common import materialize, release_shuffles, table
+from talonscan.llm.common import complete_groups, materialize, release_shuffles, table
 
 SPAN = 100
 K = 32
@@ -150,29 +150,6 @@ def anchored(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
     return docs.select("ord", "text").mapInArrow(run, "gid bigint, whole bigint, ord bigint, packed bigint")
 
 
-def _complete_groups(batches, columns: int, least: int, take):
-    """Feeds rows sorted by their first column to ``take``, whole groups at a time."""
-    held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size >= least:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            gid = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(gid, gid[-1]))
-            if cut:
-                yield from take(whole.slice(0, cut))
-            held = whole.slice(cut).to_batches()
-            size -= cut
-            least_now = size
-            if least_now >= least:  # one large group: wait for its end
-                held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]]
-    if size:
-        yield from take(pa.Table.from_batches(held).combine_chunks())
-
-
 def sift(batches):
     """Sorted context rows to (kind, gid, ord, packed): kind 0 repeats as a whole, kind 1 may repeat in part."""
 
@@ -188,7 +165,7 @@ def sift(batches):
             [pa.array(maybe[out].astype(np.int32)), pa.array(gid[out]), pa.array(order[out]), pa.array(packed[out])], ["kind", "gid", "ord", "packed"]
         )
 
-    yield from _complete_groups(batches, 4, 200_000, take)
+    yield from complete_groups(batches, 200_000, take)
 
 
 def equal_windows(data: np.ndarray, starts: np.ndarray):
@@ -284,7 +261,7 @@ def sort_blocks(batches):
                 ["ord", "lo", "n", "digest"],
             )
 
-    yield from _complete_groups(batches, 4, BLOCK, take)
+    yield from complete_groups(batches, BLOCK, take)
 
 
 def _cut_contexts(batches):
