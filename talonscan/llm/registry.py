@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from talonscan.llm import bpe, chat_format, packing, quality_rules, secrets, simhash, token_files
+import corpus_pipeline
+from talonscan.llm import ann, bpe, chat_format, packing, pii, quality_rules, secrets, simhash, suffix_dedup, token_files
 
 
 def queries():
@@ -11,9 +12,13 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_simhash": simhash.op3_simhash,
         "op4_token_files": token_files.op4_token_files,
+        "op5_pii": pii.op5_pii,
         "op6_packing": packing.op6_packing,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_ann": ann.op9_ann,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
