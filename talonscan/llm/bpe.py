@@ -34,7 +34,6 @@ CACHE = 700_000
 GROUP_CHARS = 4_000_000
 #: Cuts are safe where a lone space or line break stands between other characters.
 _LONE = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(\n)(?=\S)")
-_UNEVEN = re.compile(r"\s[^\S ]| \s|^\s|\s$")
 _UNEVEN_LINE = re.compile(r"[\s\x1c-\x1f]{2}|^\s|\s\Z")
 
 
