@@ -26,7 +26,6 @@ def phantom_imports(imports: DataFrame, declared: DataFrame) -> DataFrame:
 
 def typosquats(names: DataFrame, popular: list[str]) -> DataFrame:
     """Names at edit distance 1 or 2 from a popular one, and not popular themselves: nearest, then first of the list."""
-    near = F.lit(None).cast("struct<d:int,i:int>")
     options = F.array(*[F.struct(F.levenshtein("name", F.lit(p)).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(popular)])
     near = F.array_min(F.filter(options, lambda o: o["d"] <= 2))
     found = names.select("name", near.alias("near")).where("near.d between 1 and 2")
