@@ -31,3 +31,43 @@ def typosquats(names: DataFrame, popular: list[str]) -> DataFrame:
     found = names.select("name", near.alias("near")).where("near.d between 1 and 2")
     similar = F.get(F.array(*[F.lit(p) for p in popular]), F.col("near.i"))
     return found.select("name", similar.alias("similar_to"), F.when(F.col("near.d") == 1, 0.9).otherwise(0.7).cast("double").alias("confidence"))
+
+
+def cvss_severity(label: Column, number: Column) -> Column:
+    """Severity of an advisory: its label if known, else by CVSS number, else medium."""
+    named = F.lower(label)
+    by_number = F.when(number >= 9, "critical").when(number >= 7, "high").when(number >= 4, "medium").when(number.isNotNull(), "low").otherwise("medium")
+    return F.when(named.isin("critical", "high", "medium", "low"), named).when(named == "moderate", "medium").otherwise(by_number)
+
+
+def package_risk(registry: DataFrame, as_of: str) -> DataFrame:
+    """(name, present, downloads, last_publish, maintainers, deprecated, typosquat) with flags, in order, and risk. ``as_of`` is the present time."""
+    now = F.to_timestamp(F.lit(as_of))
+    few = F.col("downloads") < 100
+    checks = {
+        "typosquat": F.col("typosquat"),
+        "deprecated": F.col("deprecated"),
+        "unmaintained": F.col("last_publish") < F.add_months(now, -24),
+        "new_package": (F.col("last_publish") > F.date_sub(now, 30)) & few,
+        "low_adoption": few,
+        "single_maintainer": (F.col("maintainers") == 1) & few,
+    }
+    raised = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]))
+    flags = F.when(F.col("present"), raised).otherwise(F.array(F.lit("typosquat")))
+    has = lambda *names: F.arrays_overlap("flags", F.array(*[F.lit(n) for n in names]))
+    risk = F.when(has("typosquat"), "critical").when(has("deprecated", "unmaintained", "single_maintainer"), "high").when(has("low_adoption", "new_package"), "medium").otherwise("low")
+    return registry.withColumn("flags", flags).select("name", F.concat_ws(",", "flags").alias("flags"), risk.alias("risk"))
+
+
+def reachable(dependencies: DataFrame, imports: DataFrame) -> DataFrame:
+    """Dependencies with a flag that tells whether a file imports them; none is dropped."""
+    used = imports.select("project", "name").distinct().withColumn("_used", F.lit(True))
+    return dependencies.join(used, ["project", "name"], "left").select(*dependencies.columns, F.coalesce("_used", F.lit(False)).alias("reachable"))
+
+
+def import_roots(files: DataFrame) -> DataFrame:
+    """(file, content) to (file, name): packages that JavaScript text imports or requires; relative and built-in ones are none."""
+    quoted = r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)["']([^"'\n]+)["']"""
+    specs = files.where(F.col("content").rlike(quoted)).select("file", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(quoted), F.lit(1)))).alias("spec"))
+    root = F.regexp_extract("spec", r"^((?:@[^/]+/)?[^/]+)", 1)
+    return specs.where(~F.col("spec").rlike(r"^(?:[./~#]|node:|@/)")).select("file", root.alias("name")).distinct()

@@ -21,3 +21,34 @@ def line_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK) -> D
     hits = F.array(*[F.when(F.col("code").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, p in pack])
     found = lines.select("file", (F.col("pos") + 1).cast("bigint").alias("line"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
     return found.select("file", "line", "h.rule_id", "h.severity")
+
+
+def all_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK, cut: int = 80) -> DataFrame:
+    """(file, content) to every match with the line it starts on, also of patterns that span lines.
+
+    The pieces between matches and the matches themselves alternate, so line numbers are running sums of their newlines.
+    Files that a rule does not hit go before anything is built for it.
+    """
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n")))
+    found = []
+    for rule, severity, p in pack:
+        hit = files.where(F.col("content").rlike(p)).select("file", F.split("content", p, -1).alias("g"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m"))
+        breaks = hit.select("file", "m", F.transform("g", newlines).alias("bg"), F.transform("m", newlines).alias("bm"))
+        rows = breaks.select("file", "bg", "bm", F.posexplode("m").alias("i", "match"))
+        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
+        line = 1 + total(F.col("bg"), F.col("i") + 1) + total(F.col("bm"), F.col("i"))
+        found.append(
+            rows.select("file", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col("i").cast("bigint").alias("nth"), line.cast("bigint").alias("line"), F.substring("match", 1, cut).alias("match"))
+        )
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def load_pack(spark, path: str) -> list[tuple[str, str, str]]:
+    """Rule pack from JSON lines {rule_id, severity, pattern, flags}, patterns in ECMAScript syntax. A pack is a hand-written file."""
+    from talonscan.functions.patterns import java_regex
+
+    rows = spark.read.schema("rule_id string, severity string, pattern string, flags string").json(path).orderBy("rule_id").collect()
+    return [(r.rule_id, r.severity, java_regex(r.pattern, r.flags or "")) for r in rows]
