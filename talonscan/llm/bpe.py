@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,32 +35,25 @@ CACHE = 700_000
 GROUP_CHARS = 4_000_000
 #: Cuts are safe where a lone space or line break stands between other characters.
 _LONE = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(\n)(?=\S)")
-_UNEVEN_LINE = re.compile(r"[\s\x1c-\x1f]{2}|^\s|\s\Z")
 
 
 def pieces(text: str) -> list[str]:
     """Parts of the text, in order, that encode on their own."""
     if not text:
         return []
-    if _UNEVEN_LINE.search(text):
-        out = []
-        at = 0
-        for m in _LONE.finditer(text):
-            if m.start() > at:
-                out.append(text[at : m.start()])
-            at = m.start()
-            if m[1]:
-                out.append("\n")
-                at += 1
-        out.append(text[at:])
-        return out
+    words, blanks = text.split(), text.count(" ") + text.count("\n")
+    if len(words) == blanks + 1 and len("".join(words)) == len(text) - blanks and "\0" not in text:  # blanks stand alone, between words
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     out = []
-    for n, line in enumerate(text.split("\n")):
-        if n:
+    at = 0
+    for m in _LONE.finditer(text):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+        at = m.start()
+        if m[1]:
             out.append("\n")
-        words = line.split(" ")
-        out.append(words[0])
-        out.extend([" " + w for w in words[1:]])
+            at += 1
+    out.append(text[at:])
     return out
 
 
@@ -194,7 +188,7 @@ def library_pieces(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return lambda parts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+    return lambda parts: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
