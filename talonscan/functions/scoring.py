@@ -41,6 +41,8 @@ def grade(points: Column) -> Column:
     return out
 
 
-def staged_score(critical: Column, high: Column, medium: Column) -> Column:
+def staged_score(critical: Column, high: Column, medium: Column, scanned: Column) -> Column:
+    """0 to 100 by weighted findings per scanned file; no caps."""
     lost = critical * STAGED_WEIGHTS["critical"] + high * STAGED_WEIGHTS["high"] + medium * STAGED_WEIGHTS["medium"]
-    return F.greatest(100 - lost, F.lit(0)).cast("bigint")
+    points = F.floor(100 - lost / F.greatest(scanned, F.lit(1)) * 20 + 0.5)
+    return F.greatest(points, F.lit(0)).cast("bigint")
