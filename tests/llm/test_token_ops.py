@@ -122,3 +122,18 @@ def test_op6(spark, tmp_path, library):
     for r in packed.collect():
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert seqs[r.sequence_id].ids[r.offset : r.offset + r.length] == ids and len(seqs[r.sequence_id].ids) == 1024
+
+
+def test_pieces_side_by_side():
+    """Blank-led pieces, some with inner blanks or special strings, encode as each does alone."""
+    from tokenizers import Tokenizer
+
+    from talonscan.llm.bpe import TOGETHER, library_pieces, tokenizer_path
+
+    path = tokenizer_path()
+    alone = Tokenizer.from_file(path)
+    special = [x.content for x in alone.get_added_tokens_decoder().values()][:3]
+    parts = sorted({f" w{i}ord{i % 7}," for i in range(3 * TOGETHER)}) + [" a  b", " c\t d", " éè", *[" " + s for s in special], "\n", "x y"]
+    got = library_pieces(path)(parts)
+    for p, ids in zip(parts, got, strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == alone.encode(p, add_special_tokens=False).ids, p
