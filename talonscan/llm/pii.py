@@ -2,7 +2,8 @@
 
 One regular expression finds e-mail addresses, IPv4 addresses, card numbers, phone numbers, social security numbers and names
 behind a title. Each is replaced by a surrogate drawn from a keyed digest of its type and canonical form, so one entity
-has one surrogate everywhere (coreference). Surrogates keep type and format: digits stay digits, letters keep their case,
+has one surrogate everywhere (coreference). Cards, phones and social security numbers have their digits drawn once, from the
+canonical digits, and laid into each written form; phones with + count as international, others as national. Surrogates keep type and format: digits stay digits, letters keep their case,
 separators stay, card numbers pass the Luhn check where the original does, names keep gender and script.
 
 A corpus-wide collision check makes surrogates distinct: entities whose surrogate another entity has, or that is itself an
@@ -30,6 +31,8 @@ PHONE = r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[
 MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"]
 NAME = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?"
+#: Calling code of an international phone's seed; these codes are prefix-free.
+COUNTRY = r"^phone:\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join([EMAIL, IP, CARD, SSN, PHONE, NAME])
 #: A text that matches none of this has no personal data; cheap to test.
 GATE = r"\d.{0,3}\d|@|" + "|".join(MALE + FEMALE)
@@ -53,6 +56,11 @@ def digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
+def number_of(m: Column) -> Column:
+    """Canonical form of a number: its digits, behind + where it is written so."""
+    return F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits(m))
+
+
 def luhn_sum(number: Column, doubled: int) -> Column:
     """Luhn sum of a digit string; places counted from the right with parity ``doubled`` count double."""
     places = F.transform(F.split(F.reverse(number), ""), lambda d, i: F.struct(d.cast("int").alias("d"), i.alias("i")))
@@ -87,6 +95,27 @@ def same_format(text: Column, digest: Column) -> Column:
     )
 
 
+def number_digits(seed: Column, digest: Column) -> Column:
+    """Digits of a number's surrogate, one for each digit of the seed; a country code and the Luhn check stay."""
+    old = digits(seed)
+    code = F.length(F.regexp_extract(seed, COUNTRY, 1))
+    drawn = F.array_join(
+        F.transform(
+            F.filter(F.split(old, ""), lambda c: c != ""),
+            lambda c, i: F.when(i < code, c).otherwise(((_byte(digest, i) + i) % 10).cast("string")),
+        ),
+        "",
+    )
+    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    check = (10 - luhn_sum(body, 0) % 10) % 10
+    return F.when(seed.startswith("card:") & (luhn_sum(old, 1) % 10 == 0), F.concat(body, check.cast("string"))).otherwise(drawn)
+
+
+def lay(number: Column, shape: Column) -> Column:
+    """shape with its digits replaced by those of number in turn."""
+    return F.array_join(F.transform(F.split(shape, r"\d", -1), lambda gap, i: F.concat(gap, F.substring(number, i + 1, F.lit(1)))), "")
+
+
 def title_of(m: Column) -> Column:
     return F.regexp_extract(m, r"^(\S+) ", 1)
 
@@ -115,7 +144,7 @@ def entities(m: Column) -> Column:
     """array<struct<seed,shape>>: what of a match gets a surrogate of its own; seed is type and canonical form."""
     kind = kind_of(m)
     one = lambda seed: F.array(F.struct(seed.alias("seed"), m.alias("shape")))
-    number = F.concat(kind, F.lit(":"), digits(m))
+    number = F.concat(kind, F.lit(":"), number_of(m))
     parts = name_parts(m)
     named = F.transform(
         parts,
@@ -134,19 +163,11 @@ def surrogate(seed: Column, shape: Column, attempt: Column) -> Column:
     email = F.concat(
         F.lower(same_format(F.regexp_extract(shape, r"^(.*)\.[^.]*$", 1), digest)), F.lit("."), F.regexp_extract(shape, r"([^.]*)$", 1)
     )
-    country = F.regexp_extract(shape, r"^(\+\d{1,3}(?=[ .(-]))?", 0)
-    phone = F.concat(country, same_format(F.substring(shape, F.length(country) + 1, F.length(shape)), digest))
-    drawn = same_format(shape, digest)
-    body = F.regexp_extract(drawn, r"^(.*)\d$", 1)
-    check = (10 - luhn_sum(digits(body), 0) % 10) % 10
-    card = F.when(luhn_sum(digits(shape), 1) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
     gender = F.when(kind == "given-m", "m").when(kind == "given-f", "f").otherwise("s")
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind == "ssn", drawn)
+        .when(kind.isin("card", "phone", "ssn"), lay(number_digits(seed, digest), shape))
         .otherwise(_name(shape, gender, digest, attempt))
     )
 
@@ -159,7 +180,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 def collisions(docs: DataFrame) -> DataFrame:
     """(seed, attempt) of the entities whose first surrogate is not their own; a corpus-wide check until none is left."""
-    canon = lambda seed, s: F.concat(F.substring_index(seed, ":", 1), F.lit(":"), F.when(seed.rlike("^(?:card|phone|ssn):"), digits(s)).otherwise(F.lower(s)))
+    canon = lambda seed, s: F.concat(F.substring_index(seed, ":", 1), F.lit(":"), F.when(seed.rlike("^(?:card|phone|ssn):"), number_of(s)).otherwise(F.lower(s)))
     hits = found(docs.select("text")).where(F.size("_m") > 0).select(F.explode(F.flatten(F.transform("_m", entities))).alias("e"))
     known = materialize(hits.groupBy(F.col("e")["seed"].alias("seed")).agg(F.min(F.col("e")["shape"]).alias("shape")), "entities")
     attempts = known.select("seed", "shape", F.lit(0).alias("attempt"))
