@@ -1,6 +1,6 @@
 """Registered queries that have to read all findings, against plain Python."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 from talonscan.plans import registry
 
@@ -14,3 +14,12 @@ def test_policy_gate_reads_all_findings(spark):
         blocking[r.file] += r.severity in ("critical", "high")
     got = {r.file: (r.blocking, r.total, r.blocked) for r in registry.queries()["policy_gate"](spark, SF).collect()}
     assert got == {k: (blocking[k], n, blocking[k] > 0) for k, n in total.items()}
+
+
+def test_staged_score_reads_all_findings(spark):
+    lost, files = Counter(), defaultdict(set)
+    for r in registry.findings(spark, SF).select("module", "file", "severity").collect():
+        lost[r.module] += {"critical": 10, "high": 3, "medium": 1}.get(r.severity, 0)
+        files[r.module].add(r.file)
+    got = {r.module: r.score for r in registry.queries()["staged_score"](spark, SF).collect()}
+    assert got == {m: max(int(100 - lost[m] / (40 * len(f)) * 20 + 0.5), 0) for m, f in files.items()}
