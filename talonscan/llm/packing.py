@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows, held = [], []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, size):
@@ -155,12 +155,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
 
 
 def assemble(packed: DataFrame, size: int = SIZE, pad_id: int = END_ID) -> DataFrame:
-    """(sequence_id, ids array<int>, n_tokens) of pieces packed with_ids, padded to ``size``; a sequence has at most ``size`` pieces."""
+    """(sequence_id, ids array<bigint>, n_tokens) of pieces packed with_ids, padded to ``size`` except at a power of two; a sequence has at most ``size`` pieces."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: F.hex(p["ids"]))
     joined = packed.groupBy("sequence_id").agg(F.array_join(parts, "").alias("h"), F.sum("length").cast("int").alias("n_tokens"))
-    byte = lambda i, k: F.conv(F.substring("h", i * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    ids = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - 1), lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536)
-    return joined.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad_id), size - F.col("n_tokens"))).alias("ids"), "n_tokens")
+    byte = lambda i, k: F.conv(F.substring("h", i * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("bigint")
+    ids = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - 1), lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216)
+    even = F.col("n_tokens").bitwiseAND(F.col("n_tokens") - 1) == 0
+    missing = F.when(even, 0).otherwise(size - F.col("n_tokens"))
+    return joined.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad_id).cast("bigint"), missing)).alias("ids"), "n_tokens")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

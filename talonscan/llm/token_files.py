@@ -118,9 +118,10 @@ class TokenReader:
         return [self.document(int(n)) for n in np.flatnonzero(self.docs[:, 0] == doc_id)]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encodes with the tokenizers library and writes files below ``folder`` in doc_id order.
 
+    Ids take two bytes where the vocabulary fits, else four.
     Returns the manifest (shard int, path string, n_docs bigint, n_tokens bigint), one row for each file.
     """
     path = tokenizer or tokenizer_path()
@@ -129,6 +130,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         from pyspark import TaskContext
 
         encode = task_encoder(path, True)
+        width = 2 if max(len(encode.model.opens), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         fs, where = pa.fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
@@ -142,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 fs.create_dir(where, recursive=True)
                 sink = fs.open_output_stream(name)
                 writer = TokenWriter(sink, width)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 writer.add(doc_id, ids + end)
                 docs_ += 1
                 tokens += len(ids) // 4 + 1

@@ -30,7 +30,7 @@ def test_encode_fuzz(library):
     letters = list("ab'sre 1½²٣ \n\t\r\x1c\x85 é😀.,ß中") + ["<|endoftext|>", "  ", "'ll"]
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)]
     index = bpe.pair_index(bpe.tokenizer_path())
-    for t, ids in zip(texts, bpe.Encoder(index.encode_pieces)(texts)):
+    for t, ids in zip(texts, bpe.Encoder(index)(texts)):
         assert ids == ids_of(library, t), repr(t)
         assert index.decode(ids).decode() == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
@@ -121,19 +121,44 @@ def test_op6(spark, tmp_path, library):
     seqs = {r.sequence_id: r for r in packing.assemble(packed).collect()}
     for r in packed.collect():
         ids = np.frombuffer(r.ids, "<u4").tolist()
-        assert seqs[r.sequence_id].ids[r.offset : r.offset + r.length] == ids and len(seqs[r.sequence_id].ids) == 1024
-
-
-def test_pieces_side_by_side():
-    """Blank-led pieces, some with inner blanks or special strings, encode as each does alone."""
-    from tokenizers import Tokenizer
-
-    from talonscan.llm.bpe import TOGETHER, library_pieces, tokenizer_path
-
-    path = tokenizer_path()
-    alone = Tokenizer.from_file(path)
-    special = [x.content for x in alone.get_added_tokens_decoder().values()][:3]
-    parts = sorted({f" w{i}ord{i % 7}," for i in range(3 * TOGETHER)}) + [" a  b", " c\t d", " éè", *[" " + s for s in special], "\n", "x y"]
-    got = library_pieces(path)(parts)
-    for p, ids in zip(parts, got, strict=True):
-        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == alone.encode(p, add_special_tokens=False).ids, p
+        row = seqs[r.sequence_id]
+        assert row.ids[r.offset : r.offset + r.length] == ids
+        assert len(row.ids) == (row.n_tokens if row.n_tokens & (row.n_tokens - 1) == 0 else 1024)
+
+
+def test_parts_side_by_side(library):
+    """Parts of every sort, some with inner blanks or special strings, encode as each does alone, in both models."""
+    import pyarrow as pa
+
+    special = [x.content for x in library.get_added_tokens_decoder().values()][:3]
+    parts = [f" w{i}ord{i % 7}," for i in range(3 * bpe.TOGETHER)] + [f"Line{i}" for i in range(bpe.TOGETHER + 9)]
+    parts += [" a  b", " c\t d", " éè", *[" " + s for s in special], *special, "\n", "x y", "", "don't", "\u0000"]
+    for model in (bpe.library_bpe(bpe.tokenizer_path()), bpe.pair_index(bpe.tokenizer_path())):
+        start, size, ids = model.encode_parts(pa.array(parts, pa.large_string()))
+        for p, a, n in zip(parts, start, size, strict=True):
+            assert ids[a : a + n].tobytes() == ids_of(library, p), p
+
+
+@pytest.mark.parametrize("library_model", [True, False])
+def test_encoder_cases(library, library_model, monkeypatch):
+    """Odd blanks, controls, marks behind words, apostrophes, long texts in slices, a cache that is emptied, and long parts."""
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    random.seed(5)
+    words = ["word", "Straße,", "don't", "it's.", "a\tb", "x\u0000y", "<|endoftext|>", "end.<|endoftext|>", "...", "3.14,", "«ça»", "×÷", "é!?", "\u3000", "中文。", "o'", "\n", " ", "'ll"]
+    texts = [random.choice([" ", "\n", "  "]).join(random.choice(words) + str(random.choice(["", i])) for i in range(n)) for n in (*range(60), 700, 4000)]
+    texts += [" ".join(random.choice(words[:4]) for _ in range(5000)), "x" * 20_000, " lead", "trail ", "\nlead", "trail\n", "", None]
+    encode = bpe.Encoder(bpe.library_bpe(bpe.tokenizer_path()) if library_model else bpe.pair_index(bpe.tokenizer_path()))
+    for _ in range(2):
+        got = list(encode(texts))
+        assert len(got) == len(texts)
+        for t, ids in zip(texts, got):
+            assert ids == ids_of(library, t or ""), repr(t)[:200]
+    assert encode.keys.nbytes < 20_000
+
+
+def test_width(spark, tmp_path):
+    """Ids over 65,535 take four bytes."""
+    m = token_files.write_tokens(frame(spark, [(1, "a b", None, None, None, None)]), f"file://{tmp_path}/wide", end_id=70_000).collect()
+    with open(m[0].path, "rb") as f:
+        assert token_files.TokenReader(f, f.seek(0, 2)).find(1)[0][-1] == 70_000
