@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="talonscan-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,7 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``materialize`` wrote and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -74,8 +85,8 @@ def min_label_components(links: DataFrame) -> DataFrame:
 
     ``links`` has (item bigint, hub bigint) rows: an item belongs to a hub, and items of
     one hub are connected. Hubs are item ids too. Returns (item, root), root being the
-    smallest item id reachable. Labels only move through aggregates that combine before
-    the shuffle, so a hub with very many members does not gather in one task; every round
+    smallest item id reachable. Labels are combined before they are shuffled; the joins on a hub or root, of which one may
+    have very many members, are between plain shuffled tables, so that Spark's skew join splits it. Every round
     is written out, and the driver sees only a count. Null items or hubs are ignored.
     """
     links = links.where("item is not null and hub is not null and item <> hub")
@@ -86,6 +97,7 @@ def min_label_components(links: DataFrame) -> DataFrame:
         "edges",
     )
     labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "item"), "labels")
+    written = labels
     while True:
         near = (
             edges.join(labels, edges["b"] == labels["item"])
@@ -104,6 +116,8 @@ def min_label_components(links: DataFrame) -> DataFrame:
             "labels",
         )
         changed = new.where("root <> was").limit(1).count()
-        labels = new.select("item", "root")
+        discard(written)
+        written, labels = new, new.select("item", "root")
         if not changed:
+            discard(edges)
             return labels
