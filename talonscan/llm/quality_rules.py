@@ -6,7 +6,7 @@ that fails the base measures, is rejected.
 
 Defined results: a null text has no words and is rejected (fewer than 50 words); an empty text
 likewise; repeated rows give repeated results; columns other than doc_id and text play no part
-in a decision and are carried through; an empty table gives no rows. All work is per row, without
+in a decision and are carried through by ``clean``, whatever their names; an empty table gives no rows. All work is per row, without
 a shuffle, and memory is a small multiple of one text.
 """
 
@@ -29,8 +29,11 @@ HAS_LETTER = r"\p{L}"
 #: Rule 2, navigation: menus, breadcrumbs, page links.
 NAVIGATION = (
     r"(?i)^\s*(?:home|menu|next|previous|prev|back to top|skip to (?:main )?content|read more|log ?in|sign ?(?:in|up)|"
-    r"search|share|tweet|print)\s*[|>»›·.:]*\s*$|^[^|]{1,30}(?:\s[|»›·]\s[^|»›·]{1,30}){2,}$|^\s*page \d+ of \d+\s*\.?\s*$"
+    r"search|share|tweet|print)\s*[|>»›·.:]*\s*$|^\s*page \d+ of \d+\s*\.?\s*$"
 )
+#: A menu: three or more short entries between these marks. (A repeated group would recurse once for each entry in Java.)
+MENU_MARK = r"\s[|»›·]\s"
+MENU_ENTRY = 30
 #: Rule 3, boilerplate: notices that are about the site and not the text.
 BOILERPLATE = (
     r"(?i)all rights reserved|(?:privacy|cookie) policy|terms of (?:use|service)|(?:uses?|accept) cookies|"
@@ -42,7 +45,9 @@ def line_fails(line: Column) -> Column:
     """True where a line holds a word and breaks one of the three rules."""
     words = F.size(F.filter(F.split(line, WORD_SPLIT), lambda w: w != ""))
     punctuation = ((words <= FRAGMENT_WORDS) & ~line.rlike(SENTENCE_END)) | ~line.rlike(HAS_LETTER)
-    return line.rlike(r"[^\x20\x09-\x0D]") & (punctuation | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    entries = F.split(line, MENU_MARK, -1)
+    menu = line.rlike(MENU_MARK) & (F.size(entries) >= 3) & F.forall(entries, lambda e: F.length(e).between(1, MENU_ENTRY) & ~e.rlike("[|»›·]"))
+    return line.rlike(r"[^\x20\x09-\x0D]") & (punctuation | line.rlike(NAVIGATION) | menu | line.rlike(BOILERPLATE))
 
 
 def word_chars(text: Column) -> Column:
@@ -50,9 +55,9 @@ def word_chars(text: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, kept_chars, base_failed, kept, clean_text."""
-    kept_columns = [c for c in docs.columns]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept_columns], F.coalesce("text", F.lit("")).alias("_t"))
+    """(input struct, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, kept_chars, base_failed, kept, clean_text)."""
+    kept_columns = ["input"]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), F.coalesce("text", F.lit("")).alias("_t"))
     out = out.select("*", F.split("_t", "\n", -1).alias("_lines"), F.filter(F.split("_t", WORD_SPLIT), lambda w: w != "").alias("_w"))
     out = out.select(
         "*",
@@ -121,13 +126,13 @@ def clean(docs: DataFrame) -> DataFrame:
     changed = {"text": F.col("clean_text")}
     if "n_chars" in names:
         changed["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
-    return good.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names])
+    return good.select(*[changed[c].alias(c) if c in changed else F.col("input")[c].alias(c) for c in names])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return measure(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"
+        "input.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"
     )
 
 
@@ -150,7 +155,8 @@ lines as (
     regexp_matches(l, '[^ \t\n\x0B\f\r]') and (
       (len(list_filter(regexp_split_to_array(l, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) <= {FRAGMENT_WORDS} and not regexp_matches(l, {_sql_string(SENTENCE_END)}))
       or not regexp_matches(l, '\p{{L}}')
-      or regexp_matches(l, {_sql_string(NAVIGATION)}) or regexp_matches(l, {_sql_string(BOILERPLATE)})) as bad
+      or regexp_matches(l, {_sql_string(NAVIGATION)})
+      or (len(regexp_split_to_array(l, {_sql_string(MENU_MARK)})) >= 3 and len(list_filter(regexp_split_to_array(l, {_sql_string(MENU_MARK)}), lambda e: not (length(e) between 1 and {MENU_ENTRY}) or regexp_matches(e, '[|»›·]'))) = 0) or regexp_matches(l, {_sql_string(BOILERPLATE)})) as bad
   from (select doc_id, unnest(ls) as l from ws)),
 per as (
   select doc_id, sum(bad::int)::bigint as removed,
