@@ -5,8 +5,8 @@ are merged into a block with array functions, and blocks are concatenated to one
 
     <|role:R|>text(<|next|>text)*<|end|>
 
-Inside roles and texts a backslash is written ``\\s`` and ``<`` is written ``\\l``, so no text
-can hold a control string and the escape is reversible.
+Inside roles and texts a backslash is written ``\\s`` and ``<`` is written ``\\l``, and in roles ``>`` is ``\\g``, so no text
+can hold a control string, a role ends at the first ``|>``, and the escape is reversible.
 
 Defined results: null text or role is the empty string; turns that tie are ordered by role
 then text, repeated rows are all kept; a null conversation id is a conversation of its own;
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talonscan.llm.common import table
+from talonscan.llm.spans import before, block_sums
 
 ROLE_OPEN, ROLE_CLOSE, NEXT, END = "<|role:", "|>", "<|next|>", "<|end|>"
 
@@ -28,10 +29,18 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
 
 
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, text) rows to (conv_id, formatted, loss_spans).
 
@@ -42,7 +51,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         "conv_id",
         F.struct(
             F.col("turn"),
-            escape(F.coalesce("role", F.lit(""))).alias("role"),
+            escape_role(F.coalesce("role", F.lit(""))).alias("role"),
             escape(F.coalesce("text", F.lit(""))).alias("text"),
         ).alias("t"),
     )
@@ -62,7 +71,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             ),
         ).alias("parts"),
     )
-    role = escape(F.lit(loss_role))
+    role = escape_role(F.lit(loss_role))
     sized = marked.select(
         "conv_id",
         F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"])), ""), F.lit(END)).alias("formatted"),
@@ -75,21 +84,17 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
             ),
         ).alias("sizes"),
     )
-    # spans of turns follow from running sums over the pieces' lengths
-    ends = F.aggregate(
-        "sizes",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["head"] + s["size"]).alias("at"),
-            F.when(
-                s["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["head"]).alias("start"), s["size"].alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+    # spans of turns follow from running sums over the pieces' lengths, block by block
+    steps = sized.select("*", F.transform("sizes", lambda s: s["head"] + s["size"]).alias("steps"))
+    steps = steps.select("*", block_sums(F.col("steps")).alias("blocks"))
+    spans = F.filter(
+        F.transform(
+            "sizes",
+            lambda s, i: F.when(s["loss"], F.struct((before(F.col("steps"), F.col("blocks"), i) + s["head"]).cast("int").alias("start"), s["size"].alias("length"))),
         ),
+        lambda s: s.isNotNull(),
     )
-    return sized.select("conv_id", "formatted", ends["spans"].alias("loss_spans"))
+    return steps.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
             lambda b: F.transform(
                 F.split(F.substring(b, F.instr(b, ROLE_CLOSE) + len(ROLE_CLOSE), F.length(b)), r"<\|next\|>", -1),
                 lambda t: F.struct(
-                    unescape(F.substring(b, F.lit(len(ROLE_OPEN) + 1), F.instr(b, ROLE_CLOSE) - len(ROLE_OPEN) - 1)).alias("role"),
+                    unescape_role(F.substring(b, F.lit(len(ROLE_OPEN) + 1), F.instr(b, ROLE_CLOSE) - len(ROLE_OPEN) - 1)).alias("role"),
                     unescape(t).alias("text"),
                 ),
             ),
@@ -135,9 +140,9 @@ with t as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e as (
-  select *, lag(role) over (partition by conv_id order by turn nulls first, replace(replace(role, '\', '\s'), '<', '\l'), replace(replace(text, '\', '\s'), '<', '\l')) as before,
-    row_number() over (partition by conv_id order by turn nulls first, replace(replace(role, '\', '\s'), '<', '\l'), replace(replace(text, '\', '\s'), '<', '\l')) as k,
-    length(replace(replace(role, '\', '\s'), '<', '\l')) as rl,
+  select *, lag(role) over (partition by conv_id order by turn nulls first, replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g'), replace(replace(text, '\', '\s'), '<', '\l')) as before,
+    row_number() over (partition by conv_id order by turn nulls first, replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g'), replace(replace(text, '\', '\s'), '<', '\l')) as k,
+    length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g')) as rl,
     length(replace(replace(text, '\', '\s'), '<', '\l')) as tl
   from t)
 select conv_id, count(*) as n_turns,

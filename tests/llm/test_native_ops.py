@@ -87,3 +87,34 @@ def test_chat(spark, tmp_path):
     assert out[1].loss_text == "x<" and out[2].loss_text == "é😀"
     assert [tuple(t) for t in out[2].turns] == [("", ""), ("assistant", "é😀")]
     assert out[1].formatted.count("<|role:") == 2
+
+
+def test_chat_roles(spark):
+    """Roles and texts that hold parts of the template come back."""
+    turns = [("a|>b", "text"), ("a", "b|>text"), ("<|end|>", "|>"), ("\\g>", ">\\g"), ("assistant", "<|role:x|>y")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat_format.parse_conversations(chat_format.format_conversations(df)).collect()[0]
+    assert [tuple(t) for t in row.turns] == turns and row.loss_text == "<|role:x|>y"
+
+
+def test_long_lines(spark):
+    """Single lines of a million characters: no rule recurses or runs away."""
+    from pyspark.sql import functions as F
+    from talonscan.llm import pii
+
+    n = 1_000_000
+    texts = ["home" + " | item x" * (n // 9), "a" * n, " " * n, "1" * n, "1 " * (n // 2), "a@" * (n // 2), "a.b@c" + ".d" * (n // 2), "Mr. " * (n // 4), "-" * n, "x y " * (n // 4), "token=" * (n // 6), "eyJ" + "A" * n, "+1" + " 22" * (n // 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = quality_rules.measure(df).select("input.doc_id", "n_lines_removed").collect()
+    assert len(rows) == len(texts) and {r.doc_id: r.n_lines_removed for r in rows}[0] == 1
+    assert pii.found(df).select(F.size("matches")).count() == len(texts)
+    assert len(pii.found(df).select("input.doc_id", F.size("matches").alias("n")).collect()) == len(texts)
+    assert len(secrets.scan(df).collect()) == len(texts)
+
+
+def test_clashing_names(spark):
+    """Input columns named like the operator's own are carried through."""
+    text = "\n".join(f"This line{i} holds a{i} few b{i} words of c{i} variety." for i in range(20))
+    df = spark.createDataFrame([(1, text, 7, "c", "t", "r", "i")], "doc_id long, text string, kept int, clean_text string, _t string, _row string, input string")
+    row = quality_rules.clean(df).collect()[0]
+    assert row.asDict() == {"doc_id": 1, "text": text, "kept": 7, "clean_text": "c", "_t": "t", "_row": "r", "input": "i"}
