@@ -194,19 +194,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     roots = min_label_components(links)
     named = distinct.join(roots, distinct["fp"] == roots["item"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "named")
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = named.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # written, so that both sides of the joins are plain tables, which Spark's skew join can split at a large group
+    names = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "names")
+    of_print = materialize(named.join(names, "root").select(F.col("fp").alias("_fp"), "component_id"), "of_print")
     return prints.join(of_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: that with the smallest id (of rows with this id, one); rows without an id stay."""
-    found = near_duplicates(docs, width, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

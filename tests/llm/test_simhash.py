@@ -85,8 +85,3 @@ def test_block_counts():
             bits = rng.choice(64, 4, replace=False)
             assert sum(not any(edges[b] <= x < edges[b + 1] for x in bits) for b in range(m)) >= m - 4
 
-
-def test_keep_one(spark):
-    out = simhash.keep_one(frame(spark)).collect()
-    assert {r.doc_id for r in out} >= {1, 4, 6, 7, 8, 9, 10, 12} and not {5, 11} & {r.doc_id for r in out}
-    assert out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "h"}
