@@ -1,7 +1,7 @@
 """Personal data to surrogates, in DataFrame expressions only.
 
 One regular expression finds e-mail addresses, IPv4 addresses, card numbers, phone numbers, social security numbers and names
-behind a title. Each is replaced by a surrogate drawn from a keyed digest of its type and canonical form, so one entity
+behind a title; in a document with such names, every later or earlier mention of their words, capitalized, counts too. Each is replaced by a surrogate drawn from a keyed digest of its type and canonical form, so one entity
 has one surrogate everywhere (coreference). Cards, phones and social security numbers have their digits drawn once, from the
 canonical digits, and laid into each written form; phones with + count as international, others as national. Surrogates keep type and format: digits stay digits, letters keep their case,
 separators stay, card numbers pass the Luhn check where the original does, names keep gender and script.
@@ -9,8 +9,12 @@ separators stay, card numbers pass the Luhn check where the original does, names
 A corpus-wide collision check makes surrogates distinct: entities whose surrogate another entity has, or that is itself an
 entity of the corpus, draw again. Only these few exceptions are joined back to their documents.
 
+The key is the caller's secret: who has it can recompute the surrogates. Draws that keep colliding get longer (more letters or digits),
+so the check ends where a format has fewer surrogates than entities. A given name behind a neutral title (Dr) is an entity apart from that behind
+a gendered one, as its gender is not known.
+
 Defined results: null text stays null; text without personal data is unchanged; repeated rows and a null doc_id give results each;
-other columns are carried through; an empty table gives no rows. Memory is a small multiple of one text.
+other columns are carried through, whatever their names (``counted`` is replaced); an empty table gives no rows. Memory is a small multiple of one text.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from pyspark.sql import functions as F
 
 from talonscan.llm.common import materialize, table
 
-KEY = "surrogate-key"
+#: Session setting with the key, and the key of the registered queries where it is not set (tests, demonstration).
+KEY_SETTING, OPEN_KEY = "spark.talonscan.pii.key", "surrogate-key"
+#: Draws after which surrogates get longer.
+LONGER = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -30,12 +37,16 @@ PHONE = r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[
 #: Titles by gender; a name is one or two capitalized words behind one.
 MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"]
-NAME = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?"
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Doktor", "доктор", "профессор"]
+TITLES = [x for t in MALE + FEMALE + NEUTRAL for x in (t, t.upper())]
+NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?"
 #: Calling code of an international phone's seed; these codes are prefix-free.
 COUNTRY = r"^phone:\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join([EMAIL, IP, CARD, SSN, PHONE, NAME])
 #: A text that matches none of this has no personal data; cheap to test.
-GATE = r"\d.{0,3}\d|@|" + "|".join(MALE + FEMALE)
+GATE = r"\d.{0,3}\d|@|" + "|".join(TITLES)
+#: A mention of a name's word.
+WORD = r"^[\p{L}'-]+$"
 
 LATIN = ["ba", "ve", "lo", "ri", "mun", "sa", "ke", "dor", "ni", "tal", "pe", "gor", "li", "wan", "zu", "fe"]
 CYRILLIC = ["ба", "ве", "ло", "ри", "мун", "са", "ке", "дор", "ни", "тал", "пе", "гор", "ли", "ван", "зу", "фе"]
@@ -45,6 +56,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
+        .when(m.rlike(WORD), "word")
         .when(m.rlike(r"^\p{L}"), "name")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
@@ -68,8 +80,8 @@ def luhn_sum(number: Column, doubled: int) -> Column:
     return F.aggregate(F.filter(places, lambda p: p["d"].isNotNull()), F.lit(0), lambda a, p: a + value(p).cast("int"))
 
 
-def _draw(seed: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat(F.lit(KEY + "|"), seed, F.lit("|"), attempt.cast("string")), 256)
+def _draw(key: str, seed: Column, attempt: Column) -> Column:
+    return F.sha2(F.concat(F.lit(key + "|"), seed, F.lit("|"), attempt.cast("string")), 256)
 
 
 def _byte(digest: Column, i) -> Column:
@@ -95,8 +107,8 @@ def same_format(text: Column, digest: Column) -> Column:
     )
 
 
-def number_digits(seed: Column, digest: Column) -> Column:
-    """Digits of a number's surrogate, one for each digit of the seed; a country code and the Luhn check stay."""
+def number_digits(seed: Column, digest: Column, attempt: Column) -> Column:
+    """Digits of a number's surrogate, one for each digit of the seed (more in late draws); a country code and the Luhn check stay."""
     old = digits(seed)
     code = F.length(F.regexp_extract(seed, COUNTRY, 1))
     drawn = F.array_join(
@@ -108,12 +120,15 @@ def number_digits(seed: Column, digest: Column) -> Column:
     )
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     check = (10 - luhn_sum(body, 0) % 10) % 10
-    return F.when(seed.startswith("card:") & (luhn_sum(old, 1) % 10 == 0), F.concat(body, check.cast("string"))).otherwise(drawn)
+    more = F.substring(F.translate(digest, "abcdef", "012345"), F.lit(1), F.floor(attempt / LONGER).cast("int"))
+    return F.when(seed.startswith("card:") & (luhn_sum(old, 1) % 10 == 0), F.concat(body, check.cast("string"))).otherwise(F.concat(drawn, more))
 
 
 def lay(number: Column, shape: Column) -> Column:
-    """shape with its digits replaced by those of number in turn."""
-    return F.array_join(F.transform(F.split(shape, r"\d", -1), lambda gap, i: F.concat(gap, F.substring(number, i + 1, F.lit(1)))), "")
+    """shape with its digits replaced by those of number in turn; digits left over follow the last one."""
+    gaps = F.split(shape, r"\d", -1)
+    digit = lambda i: F.when(i == F.size(gaps) - 2, F.substring(number, i + 1, F.length(number))).otherwise(F.substring(number, i + 1, F.lit(1)))
+    return F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.when(i < F.size(gaps) - 1, digit(i)).otherwise(""))), "")
 
 
 def title_of(m: Column) -> Column:
@@ -125,7 +140,9 @@ def name_parts(m: Column) -> Column:
 
 
 def gender_of(m: Column) -> Column:
-    return F.when(F.regexp_replace(title_of(m), r"\.$", "").isin(MALE), "m").otherwise("f")
+    title = F.regexp_replace(title_of(m), r"\.$", "")
+    among = lambda titles: title.isin([x for t in titles for x in (t, t.upper())])
+    return F.when(among(MALE), "m").when(among(FEMALE), "f").otherwise("n")
 
 
 def _name(part: Column, gender: Column, digest: Column, attempt: Column) -> Column:
@@ -140,52 +157,77 @@ def _name(part: Column, gender: Column, digest: Column, attempt: Column) -> Colu
     return F.when(part.rlike(r"^[\p{Lu}'-]{2,}$"), F.upper(made)).otherwise(made)
 
 
-def entities(m: Column) -> Column:
-    """array<struct<seed,shape>>: what of a match gets a surrogate of its own; seed is type and canonical form."""
-    kind = kind_of(m)
-    one = lambda seed: F.array(F.struct(seed.alias("seed"), m.alias("shape")))
-    number = F.concat(kind, F.lit(":"), number_of(m))
+def named_words(m: Column) -> Column:
+    """array<struct<seed,shape>> of a name behind a title."""
     parts = name_parts(m)
-    named = F.transform(
+    return F.transform(
         parts,
         lambda p, i: F.struct(
             F.concat(F.when(i == F.size(parts) - 1, F.lit("surname:")).otherwise(F.concat(F.lit("given-"), gender_of(m), F.lit(":"))), F.lower(p)).alias("seed"),
             p.alias("shape"),
         ),
     )
-    return F.when(kind == "name", named).when(kind == "email", one(F.concat(F.lit("email:"), F.lower(m)))).when(kind == "ip", one(F.concat(F.lit("ip:"), m))).otherwise(one(number))
 
 
-def surrogate(seed: Column, shape: Column, attempt: Column) -> Column:
-    digest = _draw(seed, attempt)
+def entities(m: Column, names: Column) -> Column:
+    """array<struct<seed,shape>>: what of a match gets a surrogate of its own; seed is type and canonical form. ``names``: the document's named_words."""
+    kind = kind_of(m)
+    one = lambda seed: F.array(F.struct(seed.alias("seed"), m.alias("shape")))
+    known = F.get(F.filter(names, lambda n: F.lower(n["shape"]) == F.lower(m)), 0)["seed"]
+    return (
+        F.when(kind == "name", named_words(m))
+        .when(kind == "word", one(known))
+        .when(kind == "email", one(F.concat(F.lit("email:"), F.lower(m))))
+        .when(kind == "ip", one(F.concat(F.lit("ip:"), m)))
+        .otherwise(one(F.concat(kind, F.lit(":"), number_of(m))))
+    )
+
+
+def surrogate(key: str, seed: Column, shape: Column, attempt: Column) -> Column:
+    digest = _draw(key, seed, attempt)
+    longer = F.substring(digest, F.lit(1), F.floor(attempt / LONGER).cast("int"))
     kind = F.substring_index(seed, ":", 1)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
     email = F.concat(
-        F.lower(same_format(F.regexp_extract(shape, r"^(.*)\.[^.]*$", 1), digest)), F.lit("."), F.regexp_extract(shape, r"([^.]*)$", 1)
+        longer, F.lower(same_format(F.regexp_extract(shape, r"^(.*)\.[^.]*$", 1), digest)), F.lit("."), F.regexp_extract(shape, r"([^.]*)$", 1)
     )
     gender = F.when(kind == "given-m", "m").when(kind == "given-f", "f").otherwise("s")
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind.isin("card", "phone", "ssn"), lay(number_digits(seed, digest), shape))
+        .when(kind.isin("card", "phone", "ssn"), lay(number_digits(seed, digest, attempt), shape))
         .otherwise(_name(shape, gender, digest, attempt))
     )
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """docs with matches: array<string>, empty where there is nothing."""
+    """(input struct, text, pattern, names, matches): the document's named words, and all matches, empty where there is nothing.
+
+    ``pattern`` is null where the document names nobody; then ANY is the pattern.
+    """
     none = F.array().cast("array<string>")
-    return docs.select("*", F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none).alias("_m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "text", F.coalesce(F.col("text").rlike(GATE), F.lit(False)).alias("gate"))
+    titled = F.when(F.col("gate") & F.col("text").rlike("|".join(TITLES)), F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).otherwise(none)
+    rows = rows.select("input", "text", "gate", F.array_distinct(F.flatten(F.transform(titled, named_words))).alias("names"))
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("names", lambda n: F.array(n["shape"], F.upper(n["shape"]), F.initcap(n["shape"]))))))
+    pattern = F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}'-])")))
+    rows = rows.select("input", "text", "gate", "names", pattern.alias("pattern"))
+    every = F.when(F.col("pattern").isNotNull(), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).when(F.col("gate"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    return rows.select("input", "text", "names", "pattern", F.coalesce(every, none).alias("matches"))
+
 
+def _listed() -> Column:
+    return F.transform("matches", lambda m: entities(m, F.col("names")))
 
-def collisions(docs: DataFrame) -> DataFrame:
+
+def collisions(docs: DataFrame, key: str) -> DataFrame:
     """(seed, attempt) of the entities whose first surrogate is not their own; a corpus-wide check until none is left."""
     canon = lambda seed, s: F.concat(F.substring_index(seed, ":", 1), F.lit(":"), F.when(seed.rlike("^(?:card|phone|ssn):"), number_of(s)).otherwise(F.lower(s)))
-    hits = found(docs.select("text")).where(F.size("_m") > 0).select(F.explode(F.flatten(F.transform("_m", entities))).alias("e"))
+    hits = found(docs.select("text")).where(F.size("matches") > 0).select(F.explode(F.flatten(_listed())).alias("e"))
     known = materialize(hits.groupBy(F.col("e")["seed"].alias("seed")).agg(F.min(F.col("e")["shape"]).alias("shape")), "entities")
     attempts = known.select("seed", "shape", F.lit(0).alias("attempt"))
     while True:
-        drawn = materialize(attempts.select("seed", "shape", "attempt", canon(F.col("seed"), surrogate(F.col("seed"), F.col("shape"), F.col("attempt"))).alias("made")), "drawn")
+        drawn = materialize(attempts.select("seed", "shape", "attempt", canon(F.col("seed"), surrogate(key, F.col("seed"), F.col("shape"), F.col("attempt"))).alias("made")), "drawn")
         # who drew first keeps it; the other, and whoever drew an entity of the corpus, draws again
         owner = drawn.groupBy(F.col("made").alias("_made")).agg(F.min(F.struct("attempt", "seed")).alias("owner"), F.count("*").alias("n"))
         shared = drawn.join(owner.where("n > 1"), F.col("made") == F.col("_made")).where(F.col("seed") != F.col("owner.seed")).select("seed")
@@ -198,32 +240,42 @@ def collisions(docs: DataFrame) -> DataFrame:
         )
 
 
-def replace_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with surrogates in text (n_chars to match, if there is one), and n_found: how many spans were replaced."""
-    names = docs.columns
-    redrawn = materialize(collisions(docs), "redrawn")
+def replace_pii(docs: DataFrame, key: str, counted: str | None = "n_found") -> DataFrame:
+    """``docs`` with surrogates in text (n_chars to match, if there is one), and in column ``counted``, if named, how many spans were replaced."""
+    names = [c for c in docs.columns if c != counted]
+    redrawn = materialize(collisions(docs, key), "redrawn")
     rows = found(docs)
     if redrawn.limit(1).count():
-        hits = rows.where(F.size("_m") > 0).select("doc_id", F.explode(F.flatten(F.transform("_m", entities))).alias("e")).select("doc_id", F.col("e.seed").alias("seed")).distinct()
-        again = hits.join(redrawn, "seed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("seed", "attempt")).alias("_again"))
-        rows = rows.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-        attempt = lambda seed: F.coalesce(F.get(F.filter("_again", lambda a: a["seed"] == seed), 0)["attempt"], F.lit(0))
+        # rows of one text have the same entities; should two texts share a hash, they share a list, of which each takes its own
+        rows = rows.withColumn("of", F.xxhash64("text"))
+        hits = rows.where(F.size("matches") > 0).select("of", F.explode(F.flatten(_listed())).alias("e")).select("of", F.col("e.seed").alias("seed")).distinct()
+        again = hits.join(redrawn, "seed").groupBy(F.col("of").alias("_of")).agg(F.collect_list(F.struct("seed", "attempt")).alias("again"))
+        rows = rows.join(again, F.col("of") == F.col("_of"), "left")
+        attempt = lambda seed: F.coalesce(F.get(F.filter("again", lambda a: a["seed"] == seed), 0)["attempt"], F.lit(0))
     else:
         attempt = lambda seed: F.lit(0)
-    made = rows.select("*", F.transform("_m", entities).alias("_e"))
+    made = rows.select("*", _listed().alias("listed"))
 
     def new_text(m, i):
-        words = F.array_join(F.transform(F.get("_e", i), lambda e: surrogate(e["seed"], e["shape"], attempt(e["seed"]))), " ")
+        words = F.array_join(F.transform(F.get("listed", i), lambda e: surrogate(key, e["seed"], e["shape"], attempt(e["seed"]))), " ")
         return F.when(kind_of(m) == "name", F.concat(title_of(m), F.lit(" "), words)).otherwise(words)
 
-    made = made.select("*", F.when(F.size("_m") > 0, F.split("text", ANY, -1)).alias("_gaps"), F.transform("_m", new_text).alias("_new"))
+    gaps = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).when(F.size("matches") > 0, F.split("text", ANY, -1))
+    made = made.select("*", gaps.alias("gaps"), F.transform("matches", new_text).alias("new"))
     text = F.when(
-        F.size("_m") > 0, F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit("")))), "")
+        F.size("matches") > 0, F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")
     ).otherwise(F.col("text"))
-    made = made.select(*[F.col(f"`{c}`") for c in names if c != "text"], text.alias("text"), F.size("_m").alias("n_found"))
-    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {}
-    return made.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names], "n_found")
+    made = made.select("input", text.alias("text"), F.size("matches").alias("found"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in names:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return made.select(*[changed.get(c, F.col("input")[c]).alias(c) for c in names], *([F.col("found").alias(counted)] if counted else []))
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, OPEN_KEY)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("n_found").cast("long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, key_of(spark)).select("doc_id", "text", F.col("n_found").cast("long"))
