@@ -74,3 +74,33 @@ def test_repeated_ids_and_empty(spark):
     assert sorted(len(r.text) for r in out) == [0, 0, len(text)]
     assert next(r.h for r in out if r.text) == "z" and all(r.n_chars == len(r.text) for r in out)
     assert sd.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_clashing_names(spark):
+    from talonscan.llm import near_copies
+
+    text = "some words of a text that is long enough to repeat " * 5
+    df = spark.createDataFrame([(1, text, 9, "c", "o"), (2, text, 8, "d", "p")], "doc_id long, text string, ord int, clean string, _ord string")
+    rows = {r.doc_id: r for r in sd.remove_repeats(df).collect()}
+    assert (rows[1].ord, rows[1].clean, rows[2]._ord, rows[2].text) == (9, "c", "p", "")
+    assert [r.asDict() for r in near_copies.keep_one(df).collect()] == [{"doc_id": 1, "text": text, "ord": 9, "clean": "c", "_ord": "o"}]
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    """Groups over the limit are dealt anew by their counted size, also where no sample names them; results stay."""
+    monkeypatch.setattr(sd, "GROUP_ROWS", 3)
+    monkeypatch.setattr(sd, "common_grams", lambda docs, n: {})
+    rng = np.random.default_rng(2)
+    common = "the very same passage in the middle of all documents, sixty-odd letters or more."
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 60)))
+    rows = [(i, word() + common + (word() if i % 3 else "x" * 60)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sd.remove_repeats(df).collect()}
+    seen = set()
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 99):
+            if t[a : a + 100] in seen:
+                gone[a : a + 100] = True
+            seen.add(t[a : a + 100])
+        assert got[i] == "".join(c for c, g in zip(t, gone) if not g)
