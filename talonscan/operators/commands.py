@@ -41,31 +41,52 @@ COMMANDS = [
 ]
 SECRET_FILES = [".env", ".env.local", ".env.production", "credentials.json", "serviceAccountKey.json"]
 DEPLOY_FILES = ["vercel.json", "fly.toml", "Dockerfile", "docker-compose.yml", "workflows"]
+TOUCHES = [r"\.github\/workflows|\.gitlab-ci|Jenkinsfile|\.circleci", r"\|\s*(?:nc|netcat|ncat|socat)\b"]
 PROTECTED = ["main", "master", "production"]
 
 
+def details(command: Column) -> Column:
+    """Number of circumstances that a command touches: secret files, deploy and CI configuration, network tools, encoded traffic."""
+    tests = [command.contains(n) for n in SECRET_FILES + DEPLOY_FILES] + [command.rlike(p) for p in TOUCHES]
+    tests.append(command.contains("base64") & command.rlike("curl|wget|nc"))
+    return sum((t.cast("int") for t in tests), F.lit(0))
+
+
 def verdict(command: Column, branch: Column) -> Column:
-    """Struct of verdict, risk, category, confidence and the number of matching patterns."""
+    """Struct of verdict, risk, category, confidence and the number of matching patterns.
+
+    The first of the worst patterns decides. Every match that was no worse than one before it is one more circumstance, and each
+    circumstance makes a verdict other than allow surer.
+    """
     rows = [
         F.when(command.rlike(p), F.struct(F.lit(RISKS.index(r)).alias("rank"), F.lit(i).alias("at"), F.lit(v).alias("verdict"), F.lit(c).alias("category")))
         for i, (p, c, v, r) in enumerate(COMMANDS)
     ]
-    hits = F.filter(F.array(*rows), lambda h: h.isNotNull())
-    context = sum((command.contains(n).cast("int") for n in SECRET_FILES + DEPLOY_FILES), F.lit(0))
-    worst = F.array_min(hits)
-    push = worst.isNull() & branch.isin(PROTECTED) & command.rlike(r"\bgit\s+push\b")
-    safe = worst.isNull() & ~F.coalesce(push, F.lit(False))
-    base = F.when(worst.isNull(), 0.9).otherwise(0.85)
-    confidence = F.when(safe, F.lit(0.9)).otherwise(F.when(context > 0, F.least(F.lit(0.95), base + context * 0.02)).otherwise(base))
-    return F.struct(
-        F.when(safe, "allow").when(push, "ask").otherwise(worst["verdict"]).alias("verdict"),
-        F.when(safe, "none").when(push, "medium").otherwise(F.get(F.array(*[F.lit(r) for r in RISKS]), worst["rank"])).alias("risk"),
-        F.when(safe, "safe").when(push, "protected-branch").otherwise(worst["category"]).alias("category"),
-        F.round(confidence, 2).alias("confidence"),
-        F.size(hits).cast("bigint").alias("n_matched"),
-    )
+    found = F.struct(F.filter(F.array(*rows), lambda h: h.isNotNull()).alias("hits"))
+
+    def judged(x):
+        hits = x["hits"]
+        worst = F.array_min(hits)
+        further = F.size(F.filter(hits, lambda h, i: F.exists(F.slice(hits, F.lit(1), i), lambda g: g["rank"] <= h["rank"])))
+        push = F.coalesce(worst.isNull() & branch.isin(PROTECTED) & command.rlike(r"\bgit\s+push\b"), F.lit(False))
+        safe = worst.isNull() & ~push
+        base = F.when(worst.isNull(), 0.9).otherwise(0.85)
+        context = details(command) + further
+        confidence = F.when(~safe & (context > 0), F.least(F.lit(0.95), base + context * 0.02)).otherwise(base)
+        return F.struct(
+            F.when(safe, "allow").when(push, "ask").otherwise(worst["verdict"]).alias("verdict"),
+            F.when(safe, "none").when(push, "medium").otherwise(F.get(F.array(*[F.lit(r) for r in RISKS]), worst["rank"])).alias("risk"),
+            F.when(safe, "safe").when(push, "protected-branch").otherwise(worst["category"]).alias("category"),
+            F.round(confidence, 2).alias("confidence"),
+            F.size(hits).cast("bigint").alias("n_matched"),
+        )
+
+    return F.get(F.transform(F.array(found), judged), 0)  # the hits are found once
 
 
 def check_commands(commands: DataFrame) -> DataFrame:
-    """(command, branch) with the verdict's columns added; a null command is safe. No shuffle."""
-    return commands.withColumn("_v", verdict(F.coalesce("command", F.lit("")), F.col("branch"))).select(*commands.columns, "_v.*")
+    """(command, branch) with the verdict's columns added; a null command is safe. Each distinct command is judged once."""
+    every = commands.select("command", "branch").distinct()
+    judged = every.select(F.col("command").alias("_c"), F.col("branch").alias("_b"), verdict(F.coalesce("command", F.lit("")), F.col("branch")).alias("_v"))
+    same = F.col("command").eqNullSafe(F.col("_c")) & F.col("branch").eqNullSafe(F.col("_b"))
+    return commands.join(judged, same, "left").select(*[commands[c] for c in commands.columns], "_v.*")

@@ -28,16 +28,16 @@ def rule_ranking(findings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def exact_dedup(findings: DataFrame) -> DataFrame:
-    """The first finding of a rule on a line, by position in the file."""
-    w = Window.partitionBy("file", "line", "rule_id").orderBy("match_pos", "severity")
-    return findings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first finding of a rule on a line, by position in the file; a minimum, which combines before the shuffle."""
+    rest = [c for c in findings.columns if c not in ("file", "line", "rule_id", "match_pos", "severity")]
+    first = F.min(F.struct("match_pos", "severity", *rest)).alias("_f")
+    return findings.groupBy("file", "line", "rule_id").agg(first).select(*[F.col(c) if c in ("file", "line", "rule_id") else F.col(f"_f.{c}") for c in findings.columns])
 
 
 def dominated_dedup(findings: DataFrame) -> DataFrame:
     """Drops a finding if a more specific rule of its duplicate class (column dup_class) hits the same line."""
-    f, g = findings.alias("f"), findings.select("file", "line", "dup_class", "specificity").distinct().alias("g")
-    worse = (F.col("f.file") == F.col("g.file")) & (F.col("f.line") == F.col("g.line")) & (F.col("f.dup_class") == F.col("g.dup_class"))
-    return f.join(g, worse & (F.col("g.specificity") > F.col("f.specificity")), "left_anti")
+    best = F.max("specificity").over(Window.partitionBy("file", "line", "dup_class"))
+    return findings.withColumn("_best", F.when(F.col("dup_class").isNotNull(), best)).where("_best is null or specificity is null or specificity >= _best").drop("_best")
 
 
 def scores(findings: DataFrame, by: str) -> DataFrame:
@@ -48,17 +48,24 @@ def scores(findings: DataFrame, by: str) -> DataFrame:
 
 
 def result_hash(findings: DataFrame, by: str) -> DataFrame:
-    """Order-insensitive 16-digit hash of what was found; a file's or section's findings are one value."""
+    """Order-insensitive 16-digit hash of what was found. By anything but the file, the files' hashes are hashed, so no task holds all findings."""
     key = F.concat_ws(":", "rule_id", "severity", "file", F.col("line").cast("string"))
-    digest = F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(key))), 256), 1, 16)
-    return findings.groupBy(by).agg(digest.alias("hash"))
+    digest = lambda x: F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(x))), 256), 1, 16)
+    if by == "file":
+        return findings.groupBy("file").agg(digest(key).alias("hash"))
+    return findings.groupBy(by, "file").agg(digest(key).alias("_h")).groupBy(by).agg(digest(F.col("_h")).alias("hash"))
 
 
 def baseline_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and status: new, fixed or unchanged."""
-    a, b = before.select(*keys).distinct().withColumn("_a", F.lit(1)), after.select(*keys).distinct().withColumn("_b", F.lit(1))
-    status = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "fixed").otherwise("unchanged")
-    return a.join(b, keys, "full").select(*keys, status.alias("status"))
+    """keys, status (new, fixed or unchanged) and n: how many findings have it.
+
+    A finding is known by its keys, such as rule, file and matched text, so one that only moved is unchanged. Findings are bags: those of
+    ``after`` are new or unchanged, each; those of ``before`` that are gone are fixed, each. One shuffle of combined counts.
+    """
+    both = before.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(after.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = both.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    status = F.when(F.col("_a") == 0, "new").when(F.col("_b") == 0, "fixed").otherwise("unchanged")
+    return counts.select(*keys, status.alias("status"), F.when(F.col("_b") == 0, F.col("_a")).otherwise(F.col("_b")).alias("n"))
 
 
 def added_lines_only(findings: DataFrame, added: DataFrame) -> DataFrame:
@@ -68,9 +75,8 @@ def added_lines_only(findings: DataFrame, added: DataFrame) -> DataFrame:
 
 def in_hunks(findings: DataFrame, hunks: DataFrame) -> DataFrame:
     """Findings inside a hunk (file, start, count) of their file."""
-    h = hunks.select(F.col("file").alias("_f"), "start", "count")
-    near = (F.col("file") == F.col("_f")) & (F.col("line") >= F.col("start")) & (F.col("line") < F.col("start") + F.col("count"))
-    return findings.join(h, near, "left_semi")
+    lines = hunks.where("count > 0").select("file", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("line"))
+    return findings.join(lines, ["file", "line"], "left_semi")
 
 
 def suppressed(findings: DataFrame, directives: DataFrame) -> DataFrame:

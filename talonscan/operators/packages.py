@@ -26,8 +26,8 @@ def phantom_imports(imports: DataFrame, declared: DataFrame) -> DataFrame:
 
 def typosquats(names: DataFrame, popular: list[str]) -> DataFrame:
     """Names at edit distance 1 or 2 from a popular one, and not popular themselves: nearest, then first of the list."""
-    options = F.array(*[F.struct(F.levenshtein("name", F.lit(p)).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(popular)])
-    near = F.array_min(F.filter(options, lambda o: o["d"] <= 2))
+    options = F.array(*[F.struct(F.levenshtein("name", F.lit(p), 2).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(popular)])
+    near = F.array_min(F.filter(options, lambda o: o["d"] >= 0))
     found = names.select("name", near.alias("near")).where("near.d between 1 and 2")
     similar = F.get(F.array(*[F.lit(p) for p in popular]), F.col("near.i"))
     return found.select("name", similar.alias("similar_to"), F.when(F.col("near.d") == 1, 0.9).otherwise(0.7).cast("double").alias("confidence"))

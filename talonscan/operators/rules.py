@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A small built-in pack of our own; larger packs are a parameter (rows of rule_id, severity, pattern).
@@ -15,35 +18,65 @@ PACK = [
 ]
 
 
-def line_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK) -> DataFrame:
-    """(file, content) to (file, line, rule_id, severity): each rule at most once on a line. One pass, no join: rules are expressions."""
-    lines = files.select("file", F.posexplode(F.split("content", "\n", -1)).alias("pos", "code"))
-    hits = F.array(*[F.when(F.col("code").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, p in pack])
-    found = lines.select("file", (F.col("pos") + 1).cast("bigint").alias("line"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-    return found.select("file", "line", "h.rule_id", "h.severity")
+def _gate(pattern: str) -> str | None:
+    """A pattern that any text with a matching line matches as a whole; none where the pattern looks around or at edges."""
+    return None if re.search(r"\(\?[=!<]|\\[zZAbBG]|[$^]", pattern) else pattern
+
+
+def line_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK, block: int = 40) -> DataFrame:
+    """(file, content) to (file, line, rule_id, severity): each rule at most once on a line. No join: rules are expressions.
+
+    Texts are held against the rules first, and only those that hit are cut into lines, which are then held against the rules
+    that hit their text. Large packs are taken in blocks of rules, so that no expression grows with the pack.
+    """
+    found = []
+    for a in range(0, len(pack), block):
+        part = pack[a : a + block]
+        able = F.array(*[F.col("content").rlike(g) if (g := _gate(p)) else F.col("content").isNotNull() for _, _, p in part])
+        texts = files.select("file", "content", able.alias("able")).where(F.exists("able", lambda x: x))
+        lines = texts.select("file", "able", F.posexplode(F.split("content", "\n", -1)).alias("pos", "code"))
+        hits = F.array(*[F.when(F.get("able", n) & F.col("code").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for n, (i, s, p) in enumerate(part)])
+        rows = lines.select("file", (F.col("pos") + 1).cast("bigint").alias("line"), F.explode(F.array_compact(hits)).alias("h"))
+        found.append(rows.select("file", "line", "h.rule_id", "h.severity"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+
+def running(values: Column, block: int = 64) -> Column:
+    """Sum of the elements before each element; by blocks, so that long arrays cost little more than in proportion."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))), lambda k: F.slice(values, k * block + 1, F.lit(block)))
+    sums = F.transform(blocks, total)
+    return F.flatten(
+        F.transform(
+            blocks,
+            lambda part, k: F.transform(part, lambda _, i: total(F.slice(sums, F.lit(1), k)) + total(F.slice(part, F.lit(1), i))),
+        )
+    )
 
 
 def all_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK, cut: int = 80) -> DataFrame:
-    """(file, content) to every match with the line it starts on, also of patterns that span lines.
+    """(file, content) to every match with the line it starts on, also of patterns that span lines. One scan for the whole pack.
 
     The pieces between matches and the matches themselves alternate, so line numbers are running sums of their newlines.
-    Files that a rule does not hit go before anything is built for it.
+    Nothing is built for a rule that does not hit.
     """
-    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n")))
-    found = []
-    for rule, severity, p in pack:
-        hit = files.where(F.col("content").rlike(p)).select("file", F.split("content", p, -1).alias("g"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m"))
-        breaks = hit.select("file", "m", F.transform("g", newlines).alias("bg"), F.transform("m", newlines).alias("bm"))
-        rows = breaks.select("file", "bg", "bm", F.posexplode("m").alias("i", "match"))
-        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
-        line = 1 + total(F.col("bg"), F.col("i") + 1) + total(F.col("bm"), F.col("i"))
-        found.append(
-            rows.select("file", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col("i").cast("bigint").alias("nth"), line.cast("bigint").alias("line"), F.substring("match", 1, cut).alias("match"))
+    hits = [
+        F.when(
+            F.col("content").rlike(p),
+            F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.split("content", p, -1).alias("g"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m")),
         )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        for rule, severity, p in pack
+    ]
+    rows = files.select("file", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("file", "h.*")
+    steps = F.zip_with(F.transform("g", newlines), F.transform("m", newlines), lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    rows = rows.select("file", "rule_id", "severity", "g", "m", running(steps).alias("before"))
+    at = F.arrays_zip(F.transform("m", lambda m: F.substring(m, 1, cut)).alias("m"), F.zip_with("g", "before", lambda g, b: newlines(g) + b).alias("line"))
+    rows = rows.select("file", "rule_id", "severity", F.posexplode(at).alias("nth", "x")).where("x.m is not null")
+    return rows.select("file", "rule_id", "severity", F.col("nth").cast("bigint").alias("nth"), (F.col("x.line") + 1).cast("bigint").alias("line"), F.col("x.m").alias("match"))
 
 
 def load_pack(spark, path: str) -> list[tuple[str, str, str]]:

@@ -17,7 +17,7 @@ FINDINGS = """
 select concat('src/f', cast(l_orderkey % 700 as string), '.ts') as file, l_linenumber * 10 + l_suppkey % 7 as line,
   concat('R', cast(l_partkey % 90 as string)) as rule_id, l_partkey % 5 as dup_class, l_partkey % 90 % 4 as specificity,
   case when l_quantity >= 45 then 'critical' when l_quantity >= 35 then 'high' when l_quantity >= 20 then 'medium' when l_quantity >= 10 then 'low' else 'info' end as severity,
-  concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as match_pos,
+  concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as match_pos, concat('x', cast(l_suppkey % 9 as string)) as match,
   case l_suppkey % 4 when 0 then 'code' when 1 then 'secrets' when 2 then 'dependencies' else 'config' end as section,
   l_orderkey % 40 as module, l_shipdate as seen_at
 from lineitem"""
@@ -60,7 +60,7 @@ def _split_at(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir):
-    return fo.baseline_diff(*_split_at(spark, sf_dir), ["file", "line", "rule_id"]).groupBy("status").agg(F.count("*").alias("n"))
+    return fo.baseline_diff(*_split_at(spark, sf_dir), ["rule_id", "file", "match"]).groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def _added(spark, sf_dir):
@@ -120,6 +120,7 @@ def queries():
         "domination_dedup": lambda s, d: fo.dominated_dedup(f(s, d)).groupBy("rule_id").agg(F.count("*").alias("n")),
         "score_and_grade": lambda s, d: fo.scores(f(s, d), "module"),
         "audit_hash": lambda s, d: fo.result_hash(f(s, d), "file"),
+        "audit_hash_sections": lambda s, d: fo.result_hash(f(s, d), "section"),
         "audit_sections": lambda s, d: fo.audit_totals(f(s, d)),
         "audit_compare": _compare,
         "baseline_diff": _baseline,
@@ -158,7 +159,7 @@ def oracle_sql():
     hits = " union all ".join(f"select file, line::bigint as line, '{i}' as rule_id, '{s}' as severity from lines where regexp_matches(code, '{p.replace(chr(39), chr(39) * 2)}')" for i, s, p in rules.PACK)
     matches = f"with {lines}, m as ({hits}) "
     near = " union all ".join(f"select name, {i} as i, '{p}' as similar_to, levenshtein(name, '{p}') as d from n" for i, p in enumerate(POPULAR))
-    both = "a as (select distinct file, line, rule_id from f where seen_at < '1997-01-01'), b as (select distinct file, line, rule_id from f where seen_at >= '1996-01-01')"
+    both = "a as (select file, rule_id, match from f where seen_at < '1997-01-01'), b as (select file, rule_id, match from f where seen_at >= '1996-01-01')"
     ver = "(cast(split_part(version, '.', 1) as int) * 1000000 + cast(split_part(version, '.', 2) as int) * 1000 + cast(split_part(version, '.', 3) as int))"
     return {
         "severity_pivot": f + f"select module, {_COUNTS}, count(*) as total from f group by module",
@@ -170,10 +171,11 @@ def oracle_sql():
             p as (select module, files, cast({linear} as bigint) as linear, cast({expo} as bigint) as exponential from s)
             select *, case when linear >= 90 then 'A' when linear >= 75 then 'B' when linear >= 50 then 'C' when linear >= 25 then 'D' else 'F' end as grade from p""",
         "audit_hash": f + "select file, substr(sha256(string_agg(k, '|' order by k)), 1, 16) as hash from (select file, concat_ws(':', rule_id, severity, file, cast(line as varchar)) as k from f) group by file",
+        "audit_hash_sections": f + ", k as (select section, file, concat_ws(':', rule_id, severity, file, cast(line as varchar)) as k from f), h as (select section, file, substr(sha256(string_agg(k, '|' order by k)), 1, 16) as h from k group by section, file) select section, substr(sha256(string_agg(h, '|' order by h)), 1, 16) as hash from h group by section",
         "audit_sections": f + f"select section, {_COUNTS}, count(*) as total from f group by rollup (section)",
         "audit_compare": f + """, a as (select section, count(*) as was from f where seen_at < '1997-01-01' group by section), b as (select section, count(*) as now from f where seen_at >= '1996-01-01' group by section)
             select section, coalesce(was, 0) as was, coalesce(now, 0) as now, case when coalesce(now, 0) = 0 then 'resolved' when now < coalesce(was, 0) then 'improved' when now > coalesce(was, 0) then 'regressed' else 'unchanged' end as status from a full join b using (section)""",
-        "baseline_diff": f + f", {both} select case when a.file is null then 'new' when b.file is null then 'fixed' else 'unchanged' end as status, count(*) as n from a full join b on a.file = b.file and a.line = b.line and a.rule_id = b.rule_id group by 1",
+        "baseline_diff": f + f", {both} select case when (file, rule_id, match) in (select (file, rule_id, match) from a) then 'unchanged' else 'new' end as status, count(*)::bigint as n from b group by 1 union all select 'fixed', count(*) from a where (file, rule_id, match) not in (select (file, rule_id, match) from b)",
         "diff_aware_findings": f + f"select file, line, rule_id, match_pos from f where (file, line) in (select {file_of.format('o_orderkey')}, o_custkey % 80 from orders)",
         "pr_hunk_findings": f + f"select file, line, rule_id, match_pos from f where exists (select 1 from customer where {file_of.format('c_custkey')} = file and line >= c_nationkey * 3 and line < c_nationkey * 3 + 5)",
         "inline_suppression": f + f"select rule_id, count(*) as n from f where not exists (select 1 from customer where {file_of.format('c_custkey')} = file and line = c_nationkey * 3 and (c_custkey % 3 <> 0 or concat('R', cast(c_custkey % 90 as varchar)) = rule_id)) group by rule_id",

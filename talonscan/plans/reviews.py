@@ -48,7 +48,7 @@ def queries():
         return review.secret_history(old, old.where("seen_at >= '1998-01-01'"))
 
     def staged(s, d):
-        rows = f(s, d).groupBy("module").agg(*severity_counts(F.col("severity"))[:3], (F.countDistinct("file") * 40).alias("scanned"))
+        rows = f(s, d).groupBy("module").agg(*severity_counts(F.col("severity"))[:3], (F.countDistinct("file") * 4000).alias("scanned"))
         points = staged_score(F.col("critical"), F.col("high"), F.col("medium"), F.col("scanned"))
         return rows.select("module", points.alias("score"), grade(points).alias("grade"))
 
@@ -94,7 +94,7 @@ def oracle_sql():
         "secret_history": f + """select file, rule_id as secret, min(seen_at) as first_seen, max(seen_at) as last_seen, case when max(seen_at) >= '1998-01-01' then 'active' else 'removed' end as status from f group by all""",
         "agent_report": f + f""", e as (select * from ({_duck(EDITS)}) qualify row_number() over (partition by file, rule_id, line order by nth desc) = 1)
             select f.file, f.rule_id, f.line, f.match_pos, e.edit as exact_edit, e.edit is not null as auto_fixable from f left join e using (file, rule_id, line)""",
-        "staged_score": f + """, c as (select module, count(*) filter (severity = 'critical') * 10 + count(*) filter (severity = 'high') * 3 + count(*) filter (severity = 'medium') as w, count(distinct file) * 40 as n from f where line % 10 = 1 group by module),
+        "staged_score": f + """, c as (select module, count(*) filter (severity = 'critical') * 10 + count(*) filter (severity = 'high') * 3 + count(*) filter (severity = 'medium') as w, count(distinct file) * 4000 as n from f group by module),
             s as (select module, greatest(floor(100 - w / n * 20 + 0.5), 0)::bigint as score from c) select module, score, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 50 then 'C' when score >= 25 then 'D' else 'F' end as grade from s""",
         "posture_areas": areas + " select * from g",
         "posture_risk": areas + """ select project, count(*) as areas, case when count(*) filter (risk = 'critical') >= 2 then 'critical' when count(*) filter (risk = 'critical') = 1 then 'high'

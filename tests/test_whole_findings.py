@@ -22,4 +22,4 @@ def test_staged_score_reads_all_findings(spark):
         lost[r.module] += {"critical": 10, "high": 3, "medium": 1}.get(r.severity, 0)
         files[r.module].add(r.file)
     got = {r.module: r.score for r in registry.queries()["staged_score"](spark, SF).collect()}
-    assert got == {m: max(int(100 - lost[m] / (40 * len(f)) * 20 + 0.5), 0) for m, f in files.items()}
+    assert got == {m: max(int(100 - lost[m] / (4000 * len(f)) * 20 + 0.5), 0) for m, f in files.items()}
