@@ -39,12 +39,15 @@ MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"]
 NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Doktor", "доктор", "профессор"]
 TITLES = [x for t in MALE + FEMALE + NEUTRAL for x in (t, t.upper())]
-NAME = r"(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?"
+#: The first letter is looked at before the titles are tried.
+NAME = "(?=[" + "".join(sorted({t[0] for t in TITLES})) + r"])(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?"
 #: Calling code of an international phone's seed; these codes are prefix-free.
 COUNTRY = r"^phone:\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-ANY = "|".join([EMAIL, IP, CARD, SSN, PHONE, NAME])
-#: A text that matches none of this has no personal data; cheap to test.
-GATE = r"\d.{0,3}\d|@|" + "|".join(TITLES)
+#: All but mail, which is the costliest to look for; texts without @ are held against these only.
+REST = "|".join([IP, CARD, SSN, PHONE, NAME])
+ANY = EMAIL + "|" + REST
+#: A text that matches neither this nor NAME has no personal data; cheap to test.
+GATE = r"\d.{0,3}\d|@"
 #: A mention of a name's word.
 WORD = r"^[\p{L}'-]+$"
 
@@ -201,19 +204,25 @@ def surrogate(key: str, seed: Column, shape: Column, attempt: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(input struct, text, pattern, names, matches): the document's named words, and all matches, empty where there is nothing.
+    """(input struct, text, names, pattern, at, matches, row): the document's named words, and all matches, empty where there is nothing.
 
-    ``pattern`` is null where the document names nobody; then ANY is the pattern.
+    ``pattern`` is null where the document names nobody; then the pattern is ANY where the text has an @, else REST.
     """
     none = F.array().cast("array<string>")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "text", F.coalesce(F.col("text").rlike(GATE), F.lit(False)).alias("gate"))
-    titled = F.when(F.col("gate") & F.col("text").rlike("|".join(TITLES)), F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).otherwise(none)
-    rows = rows.select("input", "text", "gate", F.array_distinct(F.flatten(F.transform(titled, named_words))).alias("names"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "text", F.coalesce(F.col("text").rlike(NAME), F.lit(False)).alias("named"))
+    rows = rows.withColumn("gate", F.col("named") | F.coalesce(F.col("text").rlike(GATE), F.lit(False)))
+    rows = rows.withColumn("at", F.col("gate") & F.col("text").contains("@"))
+    titled = F.when(F.col("named"), F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).otherwise(none)
+    rows = rows.select("input", "text", "gate", "at", F.array_distinct(F.flatten(F.transform(titled, named_words))).alias("names"))
     words = F.array_sort(F.array_distinct(F.flatten(F.transform("names", lambda n: F.array(n["shape"], F.upper(n["shape"]), F.initcap(n["shape"]))))))
-    pattern = F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}'-])")))
-    rows = rows.select("input", "text", "gate", "names", pattern.alias("pattern"))
-    every = F.when(F.col("pattern").isNotNull(), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).when(F.col("gate"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    return rows.select("input", "text", "names", "pattern", F.coalesce(every, none).alias("matches"))
+    first = F.array_join(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 1))), "")
+    mention = F.concat(F.lit("|(?=["), first, F.lit(r"])(?<![\p{L}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}'-])"))
+    pattern = F.when(F.size("names") > 0, F.concat(F.when(F.col("at"), F.lit(ANY)).otherwise(F.lit(REST)), mention))
+    rows = rows.select("input", "text", "gate", "at", "names", pattern.alias("pattern"))
+    every = lambda p: F.regexp_extract_all("text", p, F.lit(0))
+    matches = F.when(F.col("pattern").isNotNull(), every(F.col("pattern"))).when(F.col("at"), every(F.lit(ANY))).when(F.col("gate"), every(F.lit(REST)))
+    # The row number keeps filters on the matches from being pushed, expanded, below these projections.
+    return rows.select("input", "text", "names", "pattern", "at", F.coalesce(matches, none).alias("matches"), F.monotonically_increasing_id().alias("row"))
 
 
 def _listed() -> Column:
@@ -223,7 +232,7 @@ def _listed() -> Column:
 def collisions(docs: DataFrame, key: str) -> DataFrame:
     """(seed, attempt) of the entities whose first surrogate is not their own; a corpus-wide check until none is left."""
     canon = lambda seed, s: F.concat(F.substring_index(seed, ":", 1), F.lit(":"), F.when(seed.rlike("^(?:card|phone|ssn):"), number_of(s)).otherwise(F.lower(s)))
-    hits = found(docs.select("text")).where(F.size("matches") > 0).select(F.explode(F.flatten(_listed())).alias("e"))
+    hits = found(docs.select("text")).where((F.size("matches") > 0) & (F.col("row") >= 0)).select(F.explode(F.flatten(_listed())).alias("e"))
     known = materialize(hits.groupBy(F.col("e")["seed"].alias("seed")).agg(F.min(F.col("e")["shape"]).alias("shape")), "entities")
     attempts = known.select("seed", "shape", F.lit(0).alias("attempt"))
     while True:
@@ -248,7 +257,7 @@ def replace_pii(docs: DataFrame, key: str, counted: str | None = "n_found") -> D
     if redrawn.limit(1).count():
         # rows of one text have the same entities; should two texts share a hash, they share a list, of which each takes its own
         rows = rows.withColumn("of", F.xxhash64("text"))
-        hits = rows.where(F.size("matches") > 0).select("of", F.explode(F.flatten(_listed())).alias("e")).select("of", F.col("e.seed").alias("seed")).distinct()
+        hits = rows.where((F.size("matches") > 0) & (F.col("row") >= 0)).select("of", F.explode(F.flatten(_listed())).alias("e")).select("of", F.col("e.seed").alias("seed")).distinct()
         again = hits.join(redrawn, "seed").groupBy(F.col("of").alias("_of")).agg(F.collect_list(F.struct("seed", "attempt")).alias("again"))
         rows = rows.join(again, F.col("of") == F.col("_of"), "left")
         attempt = lambda seed: F.coalesce(F.get(F.filter("again", lambda a: a["seed"] == seed), 0)["attempt"], F.lit(0))
@@ -260,7 +269,7 @@ def replace_pii(docs: DataFrame, key: str, counted: str | None = "n_found") -> D
         words = F.array_join(F.transform(F.get("listed", i), lambda e: surrogate(key, e["seed"], e["shape"], attempt(e["seed"]))), " ")
         return F.when(kind_of(m) == "name", F.concat(title_of(m), F.lit(" "), words)).otherwise(words)
 
-    gaps = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).when(F.size("matches") > 0, F.split("text", ANY, -1))
+    gaps = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).when(F.size("matches") == 0, None).when(F.col("at"), F.split("text", ANY, -1)).otherwise(F.split("text", REST, -1))
     made = made.select("*", gaps.alias("gaps"), F.transform("matches", new_text).alias("new"))
     text = F.when(
         F.size("matches") > 0, F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")
