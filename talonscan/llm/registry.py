@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from talonscan.llm import ann, bpe, chat_format, packing, pii, quality_rules, secrets, simhash, suffix_dedup, token_files
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # which imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -18,7 +23,7 @@ def queries():
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_ann": ann.op9_ann,
         "op10_secret_scan": secrets.op10_secret_scan,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
