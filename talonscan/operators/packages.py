@@ -71,3 +71,25 @@ def import_roots(files: DataFrame) -> DataFrame:
     specs = files.where(F.col("content").rlike(quoted)).select("file", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(quoted), F.lit(1)))).alias("spec"))
     root = F.regexp_extract("spec", r"^((?:@[^/]+/)?[^/]+)", 1)
     return specs.where(~F.col("spec").rlike(r"^(?:[./~#]|node:|@/)")).select("file", root.alias("name")).distinct()
+
+
+# Severity that a signal has on its own, worst first.
+SIGNAL_SEVERITY = {
+    "critical": ["typosquat", "deceptive_prefix", "nonexistent"],
+    "high": ["phantom_import", "single_maintainer", "unmaintained", "deprecated"],
+    "medium": ["new_package", "low_adoption"],
+}
+FAKE = ["phantom_import", "typosquat", "deceptive_prefix"]
+
+
+def merged_signals(raised: DataFrame) -> DataFrame:
+    """(name, signal, online) to one row a name: its signals sorted, the worst severity, the tier; unknown signals are left out.
+
+    A new package that looks made up (``FAKE``) is critical. Signals are of a short list, so sets of a name are combined before the shuffle.
+    """
+    known = [x for names in SIGNAL_SEVERITY.values() for x in names]
+    per = raised.where(F.col("signal").isin(known)).groupBy("name").agg(F.sort_array(F.collect_set("signal")).alias("signals"), F.max("online").alias("online"))
+    has = lambda names: F.arrays_overlap("signals", F.array(*[F.lit(n) for n in names]))
+    critical = has(SIGNAL_SEVERITY["critical"]) | (has(["new_package"]) & has(FAKE))
+    severity = F.when(critical, "critical").when(has(SIGNAL_SEVERITY["high"]), "high").otherwise("medium")
+    return per.select("name", "signals", severity.alias("severity"), F.when(F.col("online"), "online").otherwise("offline").alias("tier"))
