@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talonscan.operators import config, packages, policy
+from talonscan.operators import config, packages, policy, taint
 from talonscan.plans.kernel import literals
 
 #: (before, after)
@@ -69,6 +69,31 @@ MERGED = [
     (3, "new_package+single_maintainer", "high", "online"), (4, "nonexistent+phantom_import", "critical", "online"), (5, "deprecated", "high", "online"), (6, "low_adoption", "medium", "online"),
 ]
 
+#: (path, text)
+FLOWS = [
+    ("a.ts", "const name = req.query.file;\nfs.readFileSync(name);\nfs.writeFileSync('x', req.body.t);"),
+    ("b.ts", "const mail = req.body.mail;\ndb.query(`select 1 where m = $1 and p = '${hash(mail)}'`, { bind: [mail] });"),
+    ("b.ts", "const mail = req.body.mail;\ndb.query(`select 1 where m = '${mail}'`);"),
+    ("c.ts", "const to = req.query.to;\nredirect(`/${to}/x`);\nredirect(to);\nredirect(`//${to}`);"),
+    ("d.ts", "const u = req.query.u;\nfetch(u);\nfetch(`https://${u}/x`);\nfetch(`https://api.example/${u}`);\nfetch('/own/' + u);"),
+    ("d.ts", "const u = req.query.u;\nconst v = u + '/x';\nfetch(v);\nfetch(`https://${v}`);\nfetch(req.body.u);"),
+    ("d.test.ts", "fetch(req.body.u);"),
+    ("e.ts", "'use client'\nfetch(req.body.u);"),
+    ("f.ts", "assertSafeUrl(req.body.u);\nfetch(req.body.u);"),
+    ("g.ts", "const id = req.params.id;\nconst q = 'SELECT * FROM t WHERE id = ' + id;\nconst r = 'x' + id;\ndb.query(q);\ndb.query(r);\ndb.query(q, [id]);"),
+    ("h.ts", "const u = new URL('/x', req.url);\nfetch(u);"),
+    ("i.ts", "const n = parseInt(req.query.n);\neval(n);"),
+    (None, None),
+]
+#: n, source, source_line, variable, sink, severity, line, chain. A tainted name is looked for before inline sources, in ``req.body.u`` too.
+FLOWN = [
+    (0, "http-input", 1, "name", "path-traversal", "high", 2, "name"), (0, "http-input", 3, "", "path-traversal", "high", 3, ""),
+    (2, "http-input", 1, "mail", "sql-injection", "critical", 2, "mail"), (3, "http-input", 1, "to", "open-redirect", "medium", 3, "to"),
+    (3, "http-input", 1, "to", "open-redirect", "medium", 4, "to"), (4, "http-input", 1, "u", "ssrf", "high", 2, "u"), (4, "http-input", 1, "u", "ssrf", "high", 3, "u"),
+    (5, "http-input", 1, "v", "ssrf", "high", 4, "u>v"), (5, "http-input", 1, "u", "ssrf", "high", 5, "u"),
+    (9, "http-input", 1, "q", "sql-injection", "critical", 4, "id>q"), (9, "http-input", 1, "q", "sql-injection", "critical", 6, "id>q"),
+]
+
 
 def _parts(s, d, n: int):
     return s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.pmod("p_partkey", F.lit(n)).cast("int").alias("n"))
@@ -96,6 +121,15 @@ def _signals(s, d):
     return merged.join(held, merged["name"] == held["file"]).groupBy("n", F.array_join("signals", "+").alias("signals"), "severity", "tier").agg(F.count("*").alias("files"))
 
 
+def _flows(s, d):
+    held = _parts(s, d, len(FLOWS))
+    texts = F.array(*[F.struct(F.lit(p).cast("string").alias("path"), F.lit(t).cast("string").alias("content")) for p, t in FLOWS])
+    rows = held.select("file", "n", F.get(texts, F.col("n")).alias("t")).select(F.concat("file", F.lit("/"), F.coalesce("t.path", F.lit(""))).alias("file"), "n", "t.content")
+    found = taint.taint(rows.select("file", "content"))
+    columns = ["n", "source", "source_line", F.coalesce("variable", F.lit("")).alias("variable"), "sink", "severity", "line", F.array_join("chain", ">").alias("chain")]
+    return found.join(rows.select("file", "n"), "file").groupBy(*columns).agg(F.count("*").alias("files"))
+
+
 def _verdicts(s, d):
     from talonscan.plans.registry import findings
 
@@ -107,7 +141,7 @@ def _verdicts(s, d):
 
 
 def queries():
-    return {"config_changes": _changes, "host_settings": _settings, "package_signals": _signals, "audit_verdicts": _verdicts}
+    return {"config_changes": _changes, "host_settings": _settings, "package_signals": _signals, "taint_cases": _flows, "audit_verdicts": _verdicts}
 
 
 def oracle_sql():
@@ -118,6 +152,7 @@ def oracle_sql():
         "config_changes": each(len(CHANGES), "n, category, title, severity, times", CHANGED),
         "host_settings": each(len(SETTINGS), "n, subject, rule_id, severity, confidence", SET),
         "package_signals": each(7, "n, signals, severity, tier", MERGED),
+        "taint_cases": each(len(FLOWS), "n, source, source_line, variable, sink, severity, line, chain", FLOWN),
         "audit_verdicts": f"with f as ({_duck(FINDINGS)}), " + """c as (select module, count(*) filter (severity = 'critical' and section = 'secrets' and specificity = 3) as critical,
             count(*) filter (severity = 'high' and section = 'config' and dup_class = 4) as high, count(distinct file) as scanned, count(distinct line) as skipped from f group by module)
             select module, case when critical > 0 then 'FAIL' when high > 0 then 'WARN' else 'PASS' end as verdict, cast(floor(scanned * 100.0 / (scanned + skipped) + 0.5) as bigint) as covered from c""",
