@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
-NAMES = r"(?:^|/)(?:package\.json|package-lock\.json|yarn\.lock|requirements[^/]*\.txt|go\.mod)$"
+NAMES = r"(?:^|/)(?:package\.json|package-lock\.json|yarn\.lock|pnpm-lock\.ya?ml|requirements[^/]*\.txt|go\.mod)$"
 
 
 def clean_version(version: Column) -> Column:
@@ -27,11 +30,45 @@ def package_json(files: DataFrame) -> DataFrame:
     return rows.select("file", F.col("e.key").alias("name"), clean_version(F.col("e.value")).alias("version"), F.lit("npm").alias("ecosystem"))
 
 
+def nested_packages(text: str | None):
+    """(name, version) of the dependencies of a version 1 lock at any depth; none where the text is no such JSON."""
+    try:
+        lock = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return
+    todo = [lock]
+    while todo:
+        held = todo.pop()
+        held = held.get("dependencies") if isinstance(held, dict) else None
+        for name, entry in held.items() if isinstance(held, dict) else ():
+            if isinstance(entry, dict):
+                if isinstance(entry.get("version"), str) and entry["version"]:
+                    yield name, entry["version"]
+                todo.append(entry)
+
+
 def package_lock(files: DataFrame) -> DataFrame:
-    """Versions 2 and 3: keys of packages name paths below node_modules."""
-    parsed = _named(files, r"package-lock\.json").select("file", F.explode(F.from_json("content", "packages map<string, struct<version: string>>")["packages"]).alias("at", "p"))
-    name = F.regexp_extract("at", r"node_modules/((?:@[^/]+/)?[^/]+)$", 1)
-    return parsed.select("file", name.alias("name"), F.col("p.version").alias("version"), F.lit("npm").alias("ecosystem")).where("name <> '' and version is not null")
+    """Versions 2 and 3: keys of packages name paths below node_modules. Version 1, where packages give nothing: dependencies, which nest to any depth and so go through Python."""
+    parsed = _named(files, r"package-lock\.json").select("file", "content", F.from_json("content", "packages map<string, struct<version: string>>")["packages"].alias("p"))
+    name = lambda at: F.regexp_extract(at, r"node_modules/((?:@[^/]+/)?[^/]+)$", 1)
+    pairs = F.transform(F.map_entries("p"), lambda e: F.struct(name(e["key"]).alias("name"), e["value"]["version"].alias("version")))
+    own = parsed.select("file", "content", F.filter(pairs, lambda e: (e["name"] != "") & e["version"].isNotNull()).alias("own"))
+
+    def nested(batches):
+        for batch in batches:
+            rows = [(f, *x) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in nested_packages(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["file", "name", "version"])
+
+    older = own.where("coalesce(size(own), 0) <= 0").select("file", "content").mapInArrow(nested, "file string, name string, version string")
+    return own.select("file", F.inline("own")).unionByName(older).withColumn("ecosystem", F.lit("npm"))
+
+
+def pnpm_lock(files: DataFrame) -> DataFrame:
+    """Keys name@version, quoted or not, with or without a slash before."""
+    shape = r"""^\s+['"]?/?(@?[a-zA-Z0-9][\w./-]*?)@(\d[^:'"\s]*)['"]?\s*:"""
+    rows = _lines(_named(files, r"pnpm-lock\.ya?ml")).where(F.col("line").rlike(shape))
+    version = clean_version(F.regexp_extract("line", shape, 2))
+    return rows.select("file", F.regexp_extract("line", shape, 1).alias("name"), version.alias("version"), F.lit("npm").alias("ecosystem")).where("version is not null").distinct()
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -65,6 +102,6 @@ def manifests(files: DataFrame) -> DataFrame:
     """All formats; each package once for a file. Files that are no manifest go first."""
     files = files.where(F.col("file").rlike(NAMES)).select("file", "content")
     out = package_json(files)
-    for read in (package_lock, yarn_lock, requirements, go_mod):
+    for read in (package_lock, yarn_lock, pnpm_lock, requirements, go_mod):
         out = out.unionByName(read(files))
     return out.distinct()

@@ -22,6 +22,9 @@ def test_manifests(spark):
         ("a/package.json", '{"dependencies":{"x":"^1.2.3","@s/y":"latest"},"devDependencies":{"z":"~4"}}'),
         ("b/package.json", "no json"),
         ("package-lock.json", '{"packages":{"":{"version":"1"},"node_modules/q":{"version":"2.0.1"},"node_modules/q/node_modules/@s/r":{"version":"3.1"}}}'),
+        ("old/package-lock.json", '{"dependencies":{"a":{"version":"1.0.0","dependencies":{"b":{"version":"2.0.0","dependencies":{"c":{"version":"3.0.0"}}},"d":"odd"}},"e":{"requires":{}}}}'),
+        ("deep/package-lock.json", "[" * 100_000), ("listed/package-lock.json", '[{"dependencies": {}}]'),
+        ("pnpm-lock.yaml", "lockfileVersion: 9\npackages:\n  '@s/n@1.2.3':\n    resolution: {integrity: x}\n  /o@4.5.6(react@18.0.0):\n  p@7.8.9:\n  p@link:x:\nq@1.0.0:\n"),
         ("yarn.lock", 'l@^1.0.0, l@^1.1.0:\n  version "1.1.5"\n  resolved "u"\n\n"@s/m@npm:^2":\n  version: 2.2.2\n'),
         ("requirements.txt", "Flask==2.0 # c\n# no\nrequests>=1\n-r other.txt\n"),
         ("go.mod", "module example.com/m\n\ngo 1.20\n\nrequire (\n\tgithub.com/a/b v1.2.3\n)\nrequire golang.org/x/y v0.1.0 // indirect\n"),
@@ -31,6 +34,8 @@ def test_manifests(spark):
     assert {tuple(r) for r in got} == {
         ("a/package.json", "x", "1.2.3", "npm"), ("a/package.json", "@s/y", None, "npm"), ("a/package.json", "z", "4", "npm"),
         ("package-lock.json", "q", "2.0.1", "npm"), ("package-lock.json", "@s/r", "3.1", "npm"),
+        ("old/package-lock.json", "a", "1.0.0", "npm"), ("old/package-lock.json", "b", "2.0.0", "npm"), ("old/package-lock.json", "c", "3.0.0", "npm"),
+        ("pnpm-lock.yaml", "@s/n", "1.2.3", "npm"), ("pnpm-lock.yaml", "o", "4.5.6", "npm"), ("pnpm-lock.yaml", "p", "7.8.9", "npm"),
         ("yarn.lock", "l", "1.1.5", "npm"), ("yarn.lock", "@s/m", "2.2.2", "npm"),
         ("requirements.txt", "flask", "2.0", "PyPI"), ("requirements.txt", "requests", None, "PyPI"),
         ("go.mod", "github.com/a/b", "1.2.3", "Go"), ("go.mod", "golang.org/x/y", "0.1.0", "Go"),
