@@ -29,11 +29,11 @@ def covered(url: Column, matchers: list[str] | None) -> Column:
     return F.exists(F.array(*[url.rlike(matcher_regex(m)) for m in matchers]), lambda x: x)
 
 
-def routes(files: DataFrame) -> DataFrame:
-    """(file, content) of route handlers to (file, url, method)."""
+def routes(files: DataFrame, *kept: str) -> DataFrame:
+    """(file, content) of route handlers to (file, url, method), and the columns ``kept``."""
     own = files.where(F.col("file").rlike(r"(?:^|/)route\.[jt]sx?$"))
     has = [F.when(F.col("content").rlike(rf"export\s+(?:(?:async\s+)?function|const)\s+{m}\b"), F.lit(m)) for m in METHODS]
-    return own.select("file", route_url(F.col("file")).alias("url"), F.explode(F.array_compact(F.array(*has))).alias("method"))
+    return own.select(*kept, "file", route_url(F.col("file")).alias("url"), F.explode(F.array_compact(F.array(*has))).alias("method"))
 
 
 def coverage(routed: DataFrame, guard: Column, matchers: list[str] | None, by: str) -> DataFrame:
