@@ -1,4 +1,4 @@
-"""Query of ``operators.middleware`` over written projects, and the rows it has to give, stated as literals. Same form as ``registry``.
+"""Queries of ``operators.middleware`` and ``operators.crossfile`` over written projects, and the rows they have to give, stated as literals. Same form as ``registry``.
 
 Each supplier stands for one project; which files it holds follows from its key.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talonscan.operators import middleware
+from talonscan.operators import crossfile, middleware
 from talonscan.plans.kernel import literals
 
 GET = "export async function GET() { return 1; }"
@@ -33,22 +33,53 @@ PROTECTED = [
     (6, "app/a/route.ts", "/a", "PUT", True, True, "auth-guard"), (7, "app/b/route.ts", "/b", "GET", False, True, "middleware"),
 ]
 
+#: Files of each kind of project: calls in one file, functions in another.
+LINKED = [
+    [("api/a.ts", "import { find as look, other } from '../lib/db';\nconst id = req.query.id;\nconst t = id + 'x';\nlook(1, t);\nother(t);"),
+     ("lib/db.ts", "export function find(n: number, q: string) {\n  const s = q;\n  db.query(`select ${s}`);\n}\nexport function other(q) {\n  const ok = sanitizeIt(q);\n  eval(q);\n}")],
+    [("a.js", "const run = require('./run.js');\nrun(req.body.cmd);\nrun('fixed');"), ("run.js", "function go(c) {\n  exec(c);\n}\nmodule.exports = go;")],
+    [("a.ts", "import * as m from './m';\nimport d, { w } from './m';\nm.w(f(1, 2), req.body.x);\nd(req.body.y);\nw(1,\n  req.body.z);"),
+     ("m.ts", "export default function any(u) { redirect(u); }\nexport const w = (a, b) => fs.writeFileSync(b, a);")],
+    [("a.ts", "import { pass, sink } from './p';\nconst v = pass(req.body.v);\nsink(v);"), ("p.ts", "export function pass(x) {\n  return x;\n}\nexport function sink(x) {\n  eval(x);\n}")],
+    [("a.ts", "import { w } from 'm';\nw(req.body.x);"), ("m.ts", "function w(a) { eval(a); }"), (None, None)],
+    [("a.ts", "import { pass, sink } from './p';\nconst v = pass(\n  req.body.v);\nsink(v);"), ("p.ts", "export function pass(x) {\n  return x;\n}\nexport function sink(x) {\n  eval(x);\n}")],
+]
+#: n, path, source, source_line, variable, line, name, sink, severity, sink_file, sink_line.
+LINKS = [
+    (0, "api/a.ts", "propagated", 3, "t", 4, "find", "sql-injection", "critical", "lib/db.ts", 3),
+    (1, "a.js", "http-input", 2, "", 2, "default", "command-injection", "critical", "run.js", 2),
+    (2, "a.ts", "http-input", 3, "", 3, "w", "path-traversal", "high", "m.ts", 2), (2, "a.ts", "http-input", 4, "", 4, "default", "open-redirect", "medium", "m.ts", 1),
+    (2, "a.ts", "http-input", 5, "", 5, "w", "path-traversal", "high", "m.ts", 2), (3, "a.ts", "http-input", 2, "v", 3, "sink", "code-injection", "critical", "p.ts", 5),
+    (5, "a.ts", "return-propagated", 2, "v", 4, "sink", "code-injection", "critical", "p.ts", 5),
+]
 
-def _protection(s, d):
+
+def _held(s, d, projects):
     row = "struct<path: string, content: string>"
-    held = F.array(*[F.array(*[F.struct(F.lit(p).cast("string").alias("path"), F.lit(t).cast("string").alias("content")) for p, t in files]).cast(f"array<{row}>") for files in PROJECTS])
-    kinds = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("project"), F.pmod("s_suppkey", F.lit(len(PROJECTS))).cast("int").alias("n"))
-    files = kinds.select("project", F.inline(F.get(held, F.col("n")))).withColumnRenamed("path", "file")
+    held = F.array(*[F.array(*[F.struct(F.lit(p).cast("string").alias("path"), F.lit(t).cast("string").alias("content")) for p, t in files]).cast(f"array<{row}>") for files in projects])
+    kinds = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("project"), F.pmod("s_suppkey", F.lit(len(projects))).cast("int").alias("n"))
+    return kinds, kinds.select("project", F.inline(F.get(held, F.col("n")))).withColumnRenamed("path", "file")
+
+
+def _links(s, d):
+    kinds, files = _held(s, d, LINKED)
+    columns = ["n", F.col("file").alias("path"), "source", "source_line", "variable", "line", "name", "sink", "severity", "sink_file", "sink_line"]
+    return crossfile.cross_file_flows(files).join(kinds, "project").groupBy(*columns).agg(F.count("*").alias("files"))
+
+
+def _protection(s, d):
+    kinds, files = _held(s, d, PROJECTS)
     found = middleware.protection(files, ["needsKey"])
     return found.join(kinds, "project").groupBy("n", F.col("file").alias("path"), "url", "method", "guarded", "covered", "source").agg(F.count("*").alias("files"))
 
 
 def queries():
-    return {"route_protection": _protection}
+    return {"route_protection": _protection, "cross_file_taint": _links}
 
 
 def oracle_sql():
-    columns = "n, path, url, method, guarded, covered, source"
+    each = lambda n, columns, rows: f"with p as (select s_suppkey % {n} as n from supplier), e({columns}) as (values {literals(rows)}) select {columns}, count(*) as files from e join p using (n) group by all"
     return {
-        "route_protection": f"with p as (select s_suppkey % {len(PROJECTS)} as n from supplier), e({columns}) as (values {literals(PROTECTED)}) select {columns}, count(*) as files from e join p using (n) group by all"
+        "route_protection": each(len(PROJECTS), "n, path, url, method, guarded, covered, source", PROTECTED),
+        "cross_file_taint": each(len(LINKED), "n, path, source, source_line, variable, line, name, sink, severity, sink_file, sink_line", LINKS),
     }
