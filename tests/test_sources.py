@@ -4,7 +4,7 @@ import datetime
 import re
 
 from talonscan.functions.patterns import glob_regex, java_regex
-from talonscan.operators import packages, routes, rules, taint
+from talonscan.operators import config, middleware, packages, routes, rules, taint
 from talonscan.sources import diffs, files, manifests
 from talonscan.streaming import incremental
 
@@ -97,3 +97,17 @@ def test_streams(spark, tmp_path):
     run = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     assert [tuple(r) for r in spark.table("found").collect()] == [("f", 1, "T005", "info")]
+
+
+def test_long_lines(spark):
+    """One line of a million characters neither overflows a stack nor loses what is in it."""
+    n = 1_000_000
+    lines = ["await " + "a." * (n // 2) + "requireAuth()", "await " + "a" * n, "session" + " " * n, "x" * n + " Unauthorized"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = rows.select("i", middleware.has_guard(rows.t, ["mine"]).alias("g")).collect()
+    assert sorted(map(tuple, got)) == [(0, True), (1, False), (2, False), (3, True)]
+    changes = [("f", "debug " + "x" * n, "y" * n + " privileged: true"), ("g", "a", "sameSite" + "." * n), ("h", None, "`" + "x" * n)]
+    found = config.config_changes(spark.createDataFrame(changes, "file string, before string, after string")).collect()
+    assert [(r.file, r.title) for r in found] == [("f", "Privileged mode enabled")]
+    host = spark.createDataFrame([("s", '{"hooks": {"Stop": [{"command": "' + "a; " * (n // 3) + '"}]}, "allowedTools": ["' + "t" * n + '*"]}')], "file string, content string")
+    assert [r.rule_id for r in config.host_settings(host).collect()] == ["VG884"]
