@@ -89,39 +89,39 @@ def _trusted(name: Column, trusted: list[str]) -> Column:
 
 def host_settings(files: DataFrame, trusted: list[str] = (), api_hosts: dict[str, str] = API_HOSTS) -> DataFrame:
     """(file, content) of settings to (file, subject, rule_id, severity, confidence); the subject is a hook, a tool or a server."""
-    texts = "map<string,string>"
+    texts, kind, t = "map<string,string>", F.col("kind"), F.col("subject")
+    row = "struct<kind: string, subject: string, text: string>"
+    none = F.expr("cast(array() as array<struct<rule_id: string, severity: string, confidence: string>>)")
+    part = lambda name, subject, text: F.struct(F.lit(name).alias("kind"), subject.alias("subject"), text.alias("text"))
     read = F.from_json("content", f"hooks {texts}, allowedTools string, mcpServers {texts}, servers {texts}")
-    parsed = files.select("file", F.try_parse_json("content").isNull().alias("broken"), F.coalesce("content", F.lit("")).alias("content"))
-    parsed = parsed.select("file", "broken", read.alias("j"))
-
-    broken = parsed.where("broken").select("file", F.lit("").alias("subject"), F.array(_finding(F.lit(True), "VG-HOST-001", "info", "high")).alias("found"))
-
-    fine = parsed.where("not broken")
-    hooks = fine.select("file", F.explode("j.hooks").alias("subject", "list"))
-    hooks = hooks.select("file", "subject", F.explode(F.from_json("list", "array<struct<command: string>>")).alias("h")).select("file", "subject", F.col("h.command").alias("c"))
-    c, network, chained, piped = F.col("c"), F.col("network"), F.col("chained"), F.col("piped")
-    hooks = hooks.where("c <> ''").select(
-        "file", "subject", "c", _has(c, "(?i)" + NETWORK).alias("network"), _has(c, CHAIN).alias("chained"), _has(c, PIPED).alias("piped")
-    )
-    hooks = hooks.select("file", "subject", F.array(
-        _finding(chained, "VG884", "critical", "high"),
-        _finding(network, "VG890", "critical", "high"),
-        _finding(piped, "VG891", "high", "high"),
-        _finding((F.col("subject") == "PostToolUse") & _has(c, CHANGES_FILES), "VG895", "high", "high"),
-        _finding(_has(c, "(?i)" + DANGEROUS) & ~network, "VG884", "high", "medium"),
-    ).alias("found"))
-
-    tools = fine.select("file", F.explode(F.from_json("j.allowedTools", "array<string>")).alias("subject"))
-    t = F.col("subject")
-    tools = tools.select("file", "subject", F.array(
+    parsed = files.select("file", F.try_parse_json("content").isNull().alias("broken"), read.alias("j"))
+    held = [
+        F.transform(F.map_entries("j.hooks"), lambda e: part("hook", e["key"], e["value"])),
+        F.transform(F.from_json("j.allowedTools", "array<string>"), lambda x: part("tool", x, F.lit(None).cast("string"))),
+        F.transform(F.map_entries(F.coalesce("j.mcpServers", "j.servers")), lambda e: part("server", e["key"], e["value"])),
+    ]
+    fine = F.concat(*[F.coalesce(x, F.expr(f"cast(array() as array<{row}>)")) for x in held])
+    parts = parsed.select("file", F.inline(F.when(F.col("broken"), F.array(part("broken", F.lit(""), F.lit(None).cast("string")))).otherwise(fine)))
+
+    def hook(h):
+        c = h["command"]
+        network = _has(c, "(?i)" + NETWORK)
+        return F.array(
+            _finding(_has(c, CHAIN), "VG884", "critical", "high"),
+            _finding(network, "VG890", "critical", "high"),
+            _finding(_has(c, PIPED), "VG891", "high", "high"),
+            _finding((t == "PostToolUse") & _has(c, CHANGES_FILES), "VG895", "high", "high"),
+            _finding(_has(c, "(?i)" + DANGEROUS) & ~network, "VG884", "high", "medium"),
+        )
+
+    tools = F.array(
         _finding(t == "*", "VG885", "medium", "high"),
         _finding((t != "*") & t.contains("*") & (F.length(F.replace(t, F.lit("*"), F.lit(""))) < 10), "VG893", "medium", "medium"),
-    ).alias("found"))
-
-    servers = fine.select("file", F.explode(F.coalesce("j.mcpServers", "j.servers")).alias("subject", "text")).where(~_trusted(F.col("subject"), trusted))
-    servers = servers.select("file", "subject", "text", F.from_json("text", f"command string, args array<string>, url string, env {texts}").alias("s"))
-    command = F.concat(F.coalesce("s.command", F.lit("")), F.lit(" "), F.coalesce(F.array_join("s.args", " "), F.lit("")))
-    servers = servers.select("file", "subject", "text", "s.env", F.lower(F.coalesce("s.url", F.lit(""))).alias("url"), command.alias("c"))
+    )
+    parts = parts.withColumn("s", F.when(kind == "server", F.from_json("text", f"command string, args array<string>, url string, env {texts}")))
+    parts = parts.withColumn("h", F.when(kind == "hook", F.from_json("text", "array<struct<command: string>>")))
+    c = F.concat(F.coalesce("s.command", F.lit("")), F.lit(" "), F.coalesce(F.array_join("s.args", " "), F.lit("")))
+    url = F.lower(F.coalesce("s.url", F.lit("")))
 
     def moved(key, value):
         away = F.lit(False)
@@ -129,16 +129,13 @@ def host_settings(files: DataFrame, trusted: list[str] = (), api_hosts: dict[str
             away = away | (F.upper(key).contains(variable) & ~value.contains(host))
         return away
 
-    overrides = F.transform(F.map_entries(F.map_filter("env", moved)), lambda e: _finding(F.lit(True), "VG882", "high", "medium"))
-    none = F.expr("cast(array() as array<struct<rule_id: string, severity: string, confidence: string>>)")
-    servers = servers.select("file", "subject", F.concat(F.array(
-        _finding(F.col("url").startswith("file://"), "VG892", "high", "high"),
-        _finding(F.col("url").startswith("http://"), "VG892", "medium", "medium"),
+    overrides = F.transform(F.map_entries(F.map_filter("s.env", moved)), lambda e: _finding(F.lit(True), "VG882", "high", "medium"))
+    servers = F.concat(F.array(
+        _finding(url.startswith("file://"), "VG892", "high", "high"),
+        _finding(url.startswith("http://"), "VG892", "medium", "medium"),
         _finding(_has(c, "(?i)" + NETWORK) & _has(c, CHAIN), "VG890", "high", "medium"),
         _finding(_has(c, "(?i)" + SENSITIVE) | _has(F.col("text"), "(?i)" + SENSITIVE), "VG894", "high", "high"),
-    ), F.coalesce(overrides, none)).alias("found"))
-
-    every = broken
-    for part in (hooks, tools, servers):
-        every = every.unionByName(part)
-    return every.select("file", "subject", F.inline(F.array_compact("found")))
+    ), F.coalesce(overrides, none))
+    broken = F.array(_finding(F.lit(True), "VG-HOST-001", "info", "high"))
+    found = F.when(kind == "hook", F.flatten(F.transform("h", hook))).when(kind == "tool", tools).when((kind == "server") & ~_trusted(t, trusted), servers).when(kind == "broken", broken)
+    return parts.select("file", "subject", F.inline(F.array_compact(found)))
