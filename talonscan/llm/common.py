@@ -33,11 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives executor loss."""
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = f"list_transform(range(0, 8 * strlen({text})), lambda b: (ascii(substr({text}, cast(b // 8 + 1 as bigint), 1)) >> cast(b % 8 as int)) & 1)"
+    step = "lambda c, m: xor(c >> 1, case when (c & 1) <> m then 3988292384 else 0 end)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), {step}), 4294967295)"
+
+
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives executor loss. ``by`` is a column of few values to file rows by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back

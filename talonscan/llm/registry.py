@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talonscan.llm import ann, bpe, chat_format, packing, pii, quality_rules, secrets, simhash, suffix_dedup, token_files
+from talonscan.llm import ann, bpe, chat_format, packing, pii, prefix_trie, quality_rules, secrets, simhash, suffix_dedup, token_files, turn_repair
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,8 @@ def queries():
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_ann": ann.op9_ann,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op13_turn_repair": turn_repair.op13_turn_repair,
         "pipeline": pipeline,
     }
 
@@ -31,4 +33,6 @@ def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op13_turn_repair": turn_repair.OP13_SQL,
     }
