@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talonscan.llm import ann, bpe, chat_format, packing, pii, prefix_trie, quality_rules, secrets, simhash, suffix_dedup, token_files, turn_repair
+from talonscan.llm import ann, bpe, chat_format, minhash, packing, pii, prefix_trie, quality_rules, secrets, simhash, suffix_dedup, token_files, turn_repair
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries():
         "op9_ann": ann.op9_ann,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_minhash": minhash.op12_minhash,
         "op13_turn_repair": turn_repair.op13_turn_repair,
         "pipeline": pipeline,
     }
@@ -34,5 +35,6 @@ def oracle_sql():
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op12_minhash": minhash.OP12_SQL,
         "op13_turn_repair": turn_repair.OP13_SQL,
     }
