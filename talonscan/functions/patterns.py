@@ -50,3 +50,28 @@ def glob_regex(glob: str, anchored: bool = True) -> str:
     """A star stands for anything, also for slashes; a glob without a star is looked for anywhere."""
     literal = ".*".join(re.escape(part) for part in glob.split("*"))
     return f"^{literal}$" if anchored and "*" in glob else literal
+
+
+# Tokens of matchers (the rest of a path, one segment of it), and signs of a matcher that is a regular expression itself.
+REST, SEGMENT = r"/:\w+\*", r":\w+"
+REGULAR = r"[(|]|\.\*|\\[dwsDWS]|\[\^?"
+_MATCHER = re.compile(rf"(?P<rest>{REST})|(?P<segment>{SEGMENT})|(?P<other>[\s\S])")
+_MEANS = {"rest": "(?:/.*)?", "segment": "[^/]+"}
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+    except re.error:
+        return False
+    return True
+
+
+def matcher_pattern(matcher: str) -> str | None:
+    """Java regex of the URLs that a matcher of routes covers; None if neither reading of it, as tokens or as a regular expression, makes sense."""
+    as_tokens = "".join(_MEANS.get(m.lastgroup, m[0]) for m in _MATCHER.finditer(matcher))
+    preferred = matcher if re.search(REGULAR, matcher) else as_tokens
+    for reading in dict.fromkeys((preferred, as_tokens, matcher)):
+        if _compiles(f"^{reading}$"):
+            return java_regex(f"^{reading}$")
+    return None

@@ -1,42 +1,32 @@
 """The pattern kernel: rules of a pack held against whole files, with the files and matches that do not count left out.
 
-Everything is an expression within the row of a file, so there is no shuffle until findings are deduplicated. Patterns come first: what
-else has to be known of a file (signs, comments, directives) is found only for files that some rule of the block hits.
+1. An automaton over the literals of all patterns names the candidate rules of each file (``prefilter``).
+2. Candidates are held against the text in the JVM, pattern by pattern from one array, so that no expression grows with the pack.
+3. Files that a rule hits get the signs that its conditions ask for, and no others (``signs``).
+4. Matches are extracted, and placed and judged in their file in one pass (``context``).
+
+All of it works on the row of a file, so there is no shuffle until findings are deduplicated. A file costs time in proportion to
+its size, its candidates and its matches.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talonscan.functions.paths import looks_minified
-from talonscan.operators import signs
+from talonscan.functions.patterns import java_regex
+from talonscan.operators import context, signs
+from talonscan.operators.prefilter import candidates
 from talonscan.operators.review import confidence
-from talonscan.operators.rules import newlines, running
-
-BLOCK = 25
-#: Strings, line comments and block comments of C-like languages, each to its end or to the end of the file; possessive, so nothing recurses.
-TOKENS = r"""//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|'(?:[^'\\]++|\\[\s\S])*+(?:'|\z)|"(?:[^"\\]++|\\[\s\S])*+(?:"|\z)|`(?:[^`\\]++|\\[\s\S])*+(?:`|\z)"""
-#: How comment lines begin, names of display strings, paths and words of harmless values, languages with block comments.
-COMMENT = r"^\s*(?://|#|\*|<!--|/\*)"
-SHOWN = r"^(?:fixCode|fix|description|exploit|audit|title|message|label|reason|details|summary|hint)\s*[:=]"
-I18N_PATH = r"(?i)(?:/i18n/|/locales?/|/translations?/|/event[-_]tracker/|/analytics/events/|/messages/[a-z]{2}(?:[-_][A-Z]{2})?\.[jt]sx?\z)"
-SEED_PATH = r"(?i)(?:^|/)(?:scripts|seeds?|fixtures?|__fixtures__|bookingScenario|setupAndTeardown)\b|(?:^|/)seed[-_.][\w-]*\.[jt]sx?\z"
-BUILD_PATH = r"(?i)(?:^|/)(?:Gruntfile|gulpfile|webpack\.config|rollup\.config|vite\.config|esbuild|metro\.config)\.[cm]?[jt]s\z"
-HARMLESS = r"(?:^|\s|\b)(?:testing|example|mock|placeholder|sample|demo|fake|dummy|stub|fixture)[A-Z_]"
-HARMLESS_VALUE = r"(?i)^(?:mock|example|sample|demo|fake|dummy|stub|placeholder|changeme|change-me|your[-_]|xxx|todo|replace[-_]?me)"
-SAYS = r"(?i)(?:message|msg|error|\berr\b|label|title|hint|text|placeholder|description|tooltip|notice|warning|caption|heading|prompt|copy)"
-SENTENCE = r"^[A-Za-z][A-Za-z .,!?'’()-]*\s[A-Za-z .,!?'’()-]+\z"
-CHECKSUM = r"(?i)(?:readFileSync|createReadStream|\bBuffer\b|\.update\s*\(\s*(?:buffer|buf|fileBuffer)|fs\.read|\.md5\b|checksum|etag|integrity|cacheKey|cache[_-]?key|contentHash|fileHash|subresource)"
-PASSWORD = r"(?i)(?:password|passwd|\bpwd\b|credential|user\.pass|loginPass)"
-CONFIRM = r"(?i)(?:cpassword|confirm[_]?password|password[_]?confirm(?:ation)?|password2|repeat[_]?password|retype[_]?password|verify[_]?password)"
-USER_INPUT = r"\b(?:req|request|body|query|params|searchParams)\.\w+|^(?:userInput|userMessage|userPrompt|prompt|input|message)\b|\buser(?:Input|Message|Prompt|Query|Text|Content|Data)\b"
+
 C_LIKE = ["javascript", "typescript", "go"]
 CREDENTIALS = ["VG001", "VG062"]
+#: Characters of matches that leave a task at once.
+SENT = 1 << 22
 
 
 class Rule(NamedTuple):
@@ -48,123 +38,48 @@ class Rule(NamedTuple):
     languages: tuple[str, ...]
 
 
-def _row(**fields: Column) -> Column:
-    """A struct; unlike aliases, these names survive inside of lambdas."""
-    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+def load_rules(spark, path: str) -> list[Rule]:
+    """Rules from JSON lines {rule_id, severity, pattern, flags, languages}, patterns in ECMAScript syntax. A pack is a hand-written file."""
+    rows = spark.read.schema("rule_id string, severity string, pattern string, flags string, languages array<string>").json(path).orderBy("rule_id").collect()
+    return [Rule(r.rule_id, r.severity, java_regex(r.pattern, r.flags or ""), tuple(r.languages or ())) for r in rows]
 
 
 def block_comments(content: Column) -> Column:
     """array<struct<first,last>>: lines, from 1, of each block comment outside of strings and line comments."""
-    gaps, tokens = F.split(content, TOKENS, -1), F.regexp_extract_all(content, F.lit(TOKENS), F.lit(0))
-    parts = F.zip_with(gaps, tokens, lambda g, t: _row(g=g, t=t))
-    before = running(F.transform(parts, lambda p: newlines(p["g"]) + F.coalesce(newlines(p["t"]), F.lit(0))))
-    spans = F.zip_with(
-        parts,
-        before,
-        lambda p, b: F.when(
-            p["t"].startswith("/*"),
-            _row(first=1 + b + newlines(p["g"]), last=1 + b + newlines(p["g"]) + newlines(p["t"])),
-        ),
-    )
-    return F.when(content.contains("/*"), F.array_compact(spans)).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
-
-
-def directives(lines: Column, word: str) -> Column:
-    """array<struct<line,rule>>: lines, from 1, that comments with the word silence, for one rule or (null) all.
-
-    ``word-next-line`` is for the next line; a comment behind code is for its line; a comment line is for itself and the next five lines
-    of code among ten, not beyond an empty line; comment lines between are passed over.
-    """
-    pattern = rf"(?i)(?://|#|<!--)\s*{re.escape(word)}(?:-next-line)?\s*(VG\d+)?(?:\s.*)?(?:-->)?"
-    only = r"^\s*(?://|#|<!--)"
-
-    def of(line, i):
-        rule = F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
-        one = lambda at: _row(line=at.cast("int"), rule=rule)
-        ahead = F.transform(F.slice(lines, i + 2, 10), lambda x, j: _row(x=x, at=i + 2 + j))
-        end = F.array_position(F.transform(ahead, lambda a: F.trim(F.regexp_replace(a["x"], r"\s", " ")) == ""), True)
-        code = F.filter(ahead, lambda a, j: ((end == 0) | (j + 1 < end)) & ~a["x"].rlike(r"^\s*(?://|#|<!--|\*)"))
-        block = F.concat(F.array(one(i + 1)), F.transform(F.slice(code, 1, 5), lambda a: one(a["at"])))
-        return F.when(~line.rlike(pattern), F.array().cast("array<struct<line:int,rule:string>>")).when(line.contains(f"{word}-next-line"), F.array(one(i + 2))).when(line.rlike(only), block).otherwise(F.array(one(i + 1)))
-
-    return F.flatten(F.transform(lines, of))
-
-
-def in_string(lines: Column, line: Column, content: Column, before: Column) -> Column:
-    """Whether a match, ``before`` characters into the content, lies in a template, in joined or escaped strings, or in a display string."""
-    text = F.get(lines, line - 1)
-    column = F.element_at(F.split(F.substring(content, F.lit(1), before), "\n", -1), -1)
-    odd = lambda s, p: F.regexp_count(s, F.lit(p)) % 2 == 1
-    template = content.contains("`") & odd(F.substring(content, F.lit(1), before), r"(?<!\\)`")
-    joined = (F.ltrim(text).rlike("^[\"']") & text.rlike(r"\+\s*\z")) | text.rlike("^\\s*\\+\\s*[\"']")
-    escaped = text.rlike(r"""["'`].*\\n""") & (odd(column, r"(?<!\\)'") | odd(column, r'(?<!\\)"'))
-    back = F.reverse(F.slice(lines, F.greatest(line - 19, F.lit(1)), F.least(line, F.lit(20))))
-    shown = F.array_position(F.transform(back, lambda x: F.regexp_replace(x, r"^\s+", "").rlike(SHOWN)), True)
-    edge = F.array_position(F.transform(back, lambda x, k: x.rlike("^\\s*id\\s*:\\s*[\"']VG") | ((k >= 2) & x.rlike(r"^\s*\{"))), True)
-    return template | joined | escaped | ((shown > 0) & ((edge == 0) | (shown <= edge)))
-
-
-def _pair(line: Column, value: str) -> tuple[Column, Column]:
-    """Name and quoted value of the first assignment in a line whose value has this form."""
-    p = rf"""\b([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*["']({value})["']"""
-    return F.regexp_extract(line, p, 1), F.regexp_extract(line, p, 2)
-
-
-def harmless_value(line: Column, path: Column) -> Column:
-    """Whether a line that looks like a credential is a sentence, a name, a slug, a placeholder, a number or a message of the interface."""
-    text = F.regexp_extract(line, r"""[:=]\s*["'`]([^"'`]{10,})["'`]""", 1)
-    name, value = _pair(line, r"[\w-]+")
-    plain = lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
-    key, slug = _pair(line, "[a-z][a-z-]*")
-    label, words = _pair(line, "[^\"']{3,}")
-    return (
-        (F.size(F.split(text, r"\s+")) >= 4)
-        | F.coalesce(path.rlike(I18N_PATH) | path.rlike(SEED_PATH), F.lit(False))
-        | line.rlike(HARMLESS)
-        | ((name != "") & (plain(name) == plain(value)))
-        | (key.rlike("^[A-Z]") & slug.rlike(r"^[a-z]+(?:-[a-z]+)+\z"))
-        | F.regexp_extract(line, r"""[:=]\s*["']([^"'\n]{3,})["']""", 1).rlike(HARMLESS_VALUE)
-        | line.rlike(r"""\b[A-Z][A-Z0-9_]*\s*=\s*["']\d+["']""")
-        | (label.rlike(SAYS) & words.rlike(SENTENCE))
-    )
-
-
-def guards() -> list[tuple[str, Column]]:
-    """(rules, when a match is dropped) over the columns of a match: content, lines, path, match, line, before, text."""
-    content, lines, path, match, line, text = (F.col(c) for c in ("content", "lines", "path", "match", "line", "text"))
-    around = lambda a, b: F.array_join(F.slice(lines, F.greatest(line - a, F.lit(1)), F.least(line, F.lit(a + 1)) + b), "\n")
-    after = F.substring(content, F.col("before") + F.length(match) + 1, F.lit(80))
-    named = lambda group: F.regexp_extract(match, group, 1)
-    assigned = lambda name, value: (name != "") & F.rlike(content, F.concat(F.lit(r"\b(?:const|let|var)\s+"), name, F.lit(value)))
-    aliases = F.transform(F.regexp_extract_all(content, F.lit(r"(?im)^FROM\s+\S+\s+AS\s+(\w[\w.-]*)"), F.lit(1)), F.lower)
-    back = F.reverse(F.slice(lines, F.greatest(line - 5, F.lit(1)), F.least(line, F.lit(6))))
-    exempt = F.array_position(F.transform(back, lambda x: x.rlike(r'"(?:engines|overrides|resolutions|pnpm)"\s*:\s*\{')), True)
-    closed = F.array_position(F.transform(back, lambda x: x.rlike(r"^\s*\}")), True)
-    filled = F.regexp_extract_all(around(0, 6), F.lit(r"\$\{([^}]+)\}"), F.lit(1))
-    url_name = named(r"\(\s*([A-Za-z_$]\w*)\s*[,)]")
-    return [
-        ("VG126 VG120", looks_minified(content)),
-        ("VG202", F.array_contains(aliases, F.lower(F.regexp_extract(match, r"(?i)^(?:FROM\s+)?([^:@\s]*)", 1)))),
-        ("VG409", assigned(named(r"\(\s*(\w+)"), r"""\s*(?::\s*[\w<>\[\],\s]+\s*)?=\s*(?:"[^"]*"|'[^']*'|`[^`$]*`)\s*;?""")),
-        ("VG120", (url_name != "") & F.rlike(content, F.concat(F.lit(r"\b\Q"), url_name, F.lit(r"""\E\s*=\s*(?:["'`]https?://|process\.env\b)""")))),
-        ("VG020", path.endswith("package.json") & (exempt > 0) & ((closed == 0) | (exempt <= closed))),
-        ("VG001 VG062", harmless_value(text, path)),
-        ("VG514", named(r"""(?i)(?:SECRET|PASSWORD|TOKEN|KEY|CREDENTIAL)\w*\s*[=:]\s*["']?([^"'\s]+)""").rlike(r"^\$\{?\w+\}?\z")),
-        ("VG1083", match.rlike(r"\.decode\s*\(") & content.rlike(r"(?i)jwt\.verify\s*\(|jwtVerify\s*\(|jose[\s\S]{0,60}?(?:jwtVerify|verify)")),
-        ("VG138", text.rlike(CONFIRM) | text.rlike(r"""(?i)(?:password|passwd|pwd)\s*(?:===|!==|==|!=)\s*(['"])\1""")),
-        ("VG1002", after.rlike(r"""^\s*:\s*(?:true|false|null|-?\d+(?:\.\d+)?|'[^'`$+]*'|"[^"`$+]*")\s*[},\]]""")),
-        ("VG060", (F.coalesce(path.rlike(BUILD_PATH), F.lit(False)) | around(4, 4).rlike(CHECKSUM)) & ~around(4, 4).rlike(PASSWORD)),
-        ("VG106", text.rlike(r"\b\w*Ref\.current\b")),
-        ("VG1021", assigned(named(r"""(?:z\.enum\s*\(\s*(?:\.\.\.)?|enum["']\s*:\s*)([a-z_$][\w$]*)"""), r"\s*(?::\s*[\w<>\[\],\s|.]+)?\s*=\s*\[")),
-        ("VG1021", text.rlike(r"z\.enum\s*\(\s*[\w$]+(?:\.[\w$]+)+") & (text.rlike(r"\.enumValues\b") | content.rlike(r"\bas\s+const\b"))),
-        ("VG850", (F.size(filled) > 0) & ~F.exists(filled, lambda x: F.trim(x).rlike(USER_INPUT))),
-    ]
+
+    @F.arrow_udf("array<struct<first:int,last:int>>")
+    def read(texts: pa.Array) -> pa.Array:
+        rows = [[{"first": a, "last": b} for a, b in context.block_comments(t or "")] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+    return read(content)
+
+
+def directives(content: Column, word: str) -> Column:
+    """array<struct<line,rule>>: lines, from 1, that comments with the word silence, for one rule or (null) all."""
+
+    @F.arrow_udf("array<struct<line:int,rule:string>>")
+    def read(texts: pa.Array) -> pa.Array:
+        rows = [[{"line": n, "rule": r} for n, r in context.directives((t or "").split("\n"), word)] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("line", pa.int32()), ("rule", pa.string())])))
+
+    return F.when(F.lower(content).contains(word.lower()), read(content)).otherwise(F.array().cast("array<struct<line:int,rule:string>>"))
 
 
 def skipped_files(content: Column, path: Column) -> Column:
     """Files that define rules themselves."""
-    s = {k: reduce(lambda a, b: a | b, [content.rlike(p) for p, _ in signs.CONTENT[k]]) for k in ("rule_ids", "rule_patterns")}
-    return (s["rule_ids"] & s["rule_patterns"]) | F.coalesce(path.rlike(r"(?:^|/)framework-guides\.ts\z") | (path.rlike(signs.PATH["rules_path"][0]) & content.rlike(r"SecurityRule\s*\[\]")), F.lit(False))
+    several = F.regexp_count(content, F.lit(signs.RULE_ID)) >= 3
+    own = F.when(content.contains("VG"), several & content.rlike(java_regex(*signs.RULE_PATTERN))).otherwise(False)
+    named = path.rlike(signs.GUIDES_PATH) | (path.rlike(signs.PATH["rules_path"][0]) & content.rlike(r"SecurityRule\s*\[\]"))
+    return own | F.coalesce(named, F.lit(False))
+
+
+def hits(files: DataFrame, pack: list[Rule]) -> DataFrame:
+    """files with ``hit``: array<int>, the rules for the file's language that its content matches."""
+    patterns = F.array(*[F.lit(r.pattern) for r in pack])
+    able = candidates([r.pattern for r in pack], [r.languages for r in pack], F.col("content"), F.col("language"))
+    rows = files.withColumn("able", able).where(F.size("able") > 0)
+    return rows.withColumn("hit", F.filter("able", lambda n: F.rlike("content", F.get(patterns, n)))).drop("able").where(F.size("hit") > 0)
 
 
 def scan(files: DataFrame, pack: list[Rule], word: str = "scan-ignore", severities: dict[str, str] | None = None, disabled: tuple[str, ...] = (), auth_functions: list[str] = (), cut: int = 80) -> DataFrame:
@@ -174,58 +89,77 @@ def scan(files: DataFrame, pack: list[Rule], word: str = "scan-ignore", severiti
     are left out; ``auth_functions`` are names that guard a handler besides the known ones.
     """
     pack = [r for r in pack if r.id not in disabled]
-    files = files.select("file", "path", "language", "framework", "content").where(~F.coalesce(skipped_files(F.col("content"), F.col("path")), F.lit(True)))
-    found = [_block(files, pack[a : a + BLOCK], word, severities or {}, auth_functions, cut) for a in range(0, len(pack), BLOCK)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _block(files: DataFrame, rules: list[Rule], word: str, severities: dict[str, str], auth_functions, cut: int) -> DataFrame:
-    hit = F.array(*[F.col("language").isin(list(r.languages)) & F.col("content").rlike(r.pattern) for r in rules])
-    rows = files.withColumn("hit", hit).where(F.exists("hit", lambda x: x))
-    conditions = {r.id: c for r in rules if (c := signs.silent_when(r.id))}
-    milder = [(x, c, was, now) for x, c, was, now in signs.MILDER if any(signs.covers(x, r.id) for r in rules)]
-    wanted = set().union(*map(signs.names, [*conditions.values(), *[c for _, c, _, _ in milder]]))
-    known = signs.signs(wanted, auth_functions)
-    rows = rows.withColumn("sign", F.struct(F.lit(True).alias("any"), *[c.alias(n) for n, c in known.items()]))
+    kept = files.select("file", "path", "language", "framework", "content").where(~F.coalesce(skipped_files(F.col("content"), F.col("path")), F.lit(True)))
+    if not pack:
+        return kept.where("false").select("file", *[F.lit(None).cast(t).alias(n) for n, t in [("rule_id", "string"), ("severity", "string"), ("line", "bigint"), ("before", "bigint"), ("match", "string"), ("confidence", "string")]])
+    rows = hits(kept, pack)
+
+    conditions = {n: c for n, r in enumerate(pack) if (c := signs.silent_when(r.id))}
+    milder = [([n for n, r in enumerate(pack) if signs.covers(x, r.id)], c, was, now) for x, c, was, now in signs.MILDER]
+    milder = [m for m in milder if m[0]]
+    asked: dict[str, set[int]] = {}
+    for ns, c in [*[([n], c) for n, c in conditions.items()], *[(ns, c) for ns, c, _, _ in milder]]:
+        for name in signs.names(c):
+            asked.setdefault(name, set()).update(ns)
+    asks = lambda ns: F.arrays_overlap("hit", F.array(*map(F.lit, sorted(ns))))
+    known = signs.signs(set(asked), auth_functions)
+    rows = rows.withColumn("sign", F.struct(F.lit(True).alias("any"), *[F.when(asks(asked[n]), c).alias(n) for n, c in known.items()]))
     of = lambda name: F.col("sign")[name]
-
-    def severity(r: Rule) -> Column:
-        own = out = F.lit(severities.get(r.id, r.severity))
-        for x, c, was, now in milder:
-            if signs.covers(x, r.id):
-                out = F.when(signs.holds(c, of) & ((own == was) if was else F.lit(True)), now).otherwise(out)
+    by_condition: dict[str, list[int]] = {}
+    for n, c in conditions.items():
+        by_condition.setdefault(c, []).append(n)
+    silent = F.flatten(F.array(F.array().cast("array<int>"), *[F.when(asks(ns) & signs.holds(c, of), F.array(*map(F.lit, ns))).otherwise(F.array().cast("array<int>")) for c, ns in by_condition.items()]))
+    rows = rows.withColumn("hit", F.array_except("hit", silent)).where(F.size("hit") > 0)
+    named, weights, patterns = (F.array(*map(F.lit, x)) for x in ([r.id for r in pack], [severities.get(r.id, r.severity) if severities else r.severity for r in pack], [r.pattern for r in pack]))
+
+    def severity(n: Column) -> Column:
+        out = F.get(weights, n)
+        for ns, c, was, now in milder:
+            out = F.when(n.isin(ns) & signs.holds(c, of) & ((F.get(weights, n) == was) if was else F.lit(True)), now).otherwise(out)
         return out
 
-    hits = [
-        F.when(
-            F.get("hit", n) & (~signs.holds(conditions[r.id], of) if r.id in conditions else F.lit(True)),
-            F.struct(F.lit(r.id).alias("rule_id"), severity(r).alias("severity"), F.split("content", r.pattern, -1).alias("g"), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias("m")),
-        )
-        for n, r in enumerate(rules)
-    ]
-    lines = F.split("content", "\n", -1)
-    rows = rows.select("file", "path", "language", "content", F.array_compact(F.array(*hits)).alias("hits")).where(F.size("hits") > 0)
-    rows = rows.select("*", lines.alias("lines"))
-    comments = F.when(F.col("language").isin(C_LIKE), block_comments(F.col("content"))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
-    marked = F.when(F.lower("content").contains(word.lower()), directives(F.col("lines"), word)).otherwise(F.array().cast("array<struct<line:int,rule:string>>"))
-    rows = rows.select("*", comments.alias("comments"), marked.alias("marked"), F.explode("hits").alias("h")).select("*", "h.*").drop("hits", "h")
-    steps = F.zip_with("g", "m", lambda g, m: _row(l=newlines(g) + F.coalesce(newlines(m), F.lit(0)), c=F.length(g) + F.coalesce(F.length(m), F.lit(0))))
-    rows = rows.withColumn("steps", steps)
-    at = F.zip_with(
-        F.zip_with("g", "m", lambda g, m: _row(g=g, m=m)),
-        F.zip_with(running(F.transform("steps", lambda s: s["l"])), running(F.transform("steps", lambda s: s["c"])), lambda a, b: _row(l=a, c=b)),
-        lambda p, s: _row(match=p["m"], line=1 + s["l"] + newlines(p["g"]), before=s["c"] + F.length(p["g"])),
-    )
-    rows = rows.select("file", "path", "content", "lines", "comments", "marked", "rule_id", "severity", F.explode(F.filter(at, lambda x: x["match"].isNotNull())).alias("x"))
-    rows = rows.select("*", "x.*").drop("x").withColumn("text", F.get("lines", F.col("line") - 1))
-    silenced = F.exists("marked", lambda d: (d["line"] == F.col("line")) & (d["rule"].isNull() | (F.upper(d["rule"]) == F.col("rule_id"))))
-    single = ~F.col("match").contains("\n")
-    commented = single & (F.col("text").rlike(COMMENT) | F.exists("comments", lambda c: F.col("line").between(c["first"], c["last"])))
-    idle = ~F.col("rule_id").rlike(signs.ADVISORY) & (commented | in_string(F.col("lines"), F.col("line"), F.col("content"), F.col("before")))
-    rows = rows.where(~silenced).where(~idle)
-    for ids, drop in guards():
-        mine = [r.id for r in rules if signs.covers(ids, r.id)]
-        if mine:
-            rows = rows.where(~(F.col("rule_id").isin(mine) & F.coalesce(drop, F.lit(False))))
-    sure = confidence(F.col("path"), F.col("rule_id"), F.col("match"), F.col("text"), CREDENTIALS, "VG9")
-    return rows.select("file", "rule_id", "severity", F.col("line").cast("bigint").alias("line"), F.col("before").cast("bigint").alias("before"), F.substring("match", 1, cut).alias("match"), sure.alias("confidence"))
+    one = lambda n: F.named_struct(
+        F.lit("rule"), F.get(named, n), F.lit("severity"), severity(n),
+        F.lit("gaps"), F.transform(F.split("content", F.get(patterns, n), -1), F.length), F.lit("found"), F.regexp_extract_all("content", F.get(patterns, n), F.lit(0)),
+    )
+    rows = rows.select(F.struct("file").alias("of"), "path", "language", "content", F.transform("hit", one).alias("hits"))
+    shape = rows.schema["of"].dataType
+    judged = rows.mapInArrow(lambda batches: _judged(batches, word), f"of {shape.simpleString()}, path string, rule_id string, severity string, line bigint, before bigint, match string, head string")
+    sure = confidence(F.col("path"), F.col("rule_id"), F.col("match"), F.col("head"), CREDENTIALS, "VG9")
+    return judged.select("of.file", "rule_id", "severity", "line", "before", F.substring("match", 1, cut).alias("match"), sure.alias("confidence"))
+
+
+def _judged(batches, word: str):
+    """Files with their hits to the matches that count; ``head`` is how the line begins."""
+    advisory = signs.advisory()
+    for batch in batches:
+        at, columns, size = [], [[] for _ in range(7)], 0
+        for n, (path, language, content, found) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(1, 5)])):
+            source = context.Source(content, path, language, word)
+            for hit in found:
+                rule, place = hit["rule"], 0
+                idle = not advisory(rule)
+                guards = [drop for rules, drop in context.GUARDS if signs.covers(rules, rule)]
+                for gap, text in zip(hit["gaps"], hit["found"]):
+                    start = place + gap
+                    place = start + len(text)
+                    line = source.line_at(start)
+                    if source.silenced(line, rule) or (idle and (("\n" not in text and source.once("commented", line, lambda: source.commented(line))) or source.in_string(line, start))):
+                        continue
+                    match = context.Match(source, text, start, line)
+                    if any(drop(match) for drop in guards):
+                        continue
+                    at.append(n)
+                    for column, value in zip(columns, (path, rule, hit["severity"], line, start, text, source.once("head", line, lambda: match.code.lstrip(context.WHITE)[:4]))):
+                        column.append(value)
+                    size += len(text)
+            if size > SENT:
+                yield _sent(batch, at, columns)
+                at, columns, size = [], [[] for _ in range(7)], 0
+        yield _sent(batch, at, columns)
+
+
+def _sent(batch, at, columns):
+    text, number = pa.string(), pa.int64()
+    made = [pa.array(c, t) for c, t in zip(columns, (text, text, text, number, number, text, text))]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], ["of", "path", "rule_id", "severity", "line", "before", "match", "head"])

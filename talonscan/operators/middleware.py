@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talonscan.functions.patterns import java_regex
+from talonscan.functions.patterns import java_regex, matcher_pattern
 from talonscan.operators.routes import routes
 
 # Signs of a guard in code, of a middleware that guards, and of one that does other work.
@@ -36,7 +36,6 @@ _COMMENT = re.compile(r"(?s)/\*.*?\*/|//[^\n]*")
 _LIST = re.compile(r"matcher\s*:\s*(?=\[)")
 _ONE = re.compile(r"""(?s)matcher\s*:\s*(?=["'`])""")
 _PROTECTED = re.compile(r"createRouteMatcher\s*\(\s*(?=\[)")
-_REGULAR = re.compile(r"[(|]|\.\*|\\[dwsDWS]|\[\^?")
 
 
 def _list_at(text: str, at: int) -> list[str] | None:
@@ -54,33 +53,20 @@ def _list_at(text: str, at: int) -> list[str] | None:
     return None
 
 
-def read_matchers(content: str | None) -> list[str]:
-    """Routes that the file says it protects, else those it says it runs on."""
+def configured_matchers(content: str | None) -> list[str]:
+    """Routes that the file says it runs on: a list, else one string."""
     text = _COMMENT.sub("", content or "")
-    kept = [x for m in _PROTECTED.finditer(text) for x in _list_at(text, m.end()) or ()]
-    listed = _LIST.search(text)
-    if not kept and listed:
-        kept = _list_at(text, listed.end()) or []
-    one = _ONE.search(text)
-    if not kept and one:
-        m = _PIECE.match(text, one.end())
-        kept = [m[0][1:-1].replace("\\\\", "\\")] if m else []
+    listed, one = _LIST.search(text), _ONE.search(text)
+    kept = (_list_at(text, listed.end()) or []) if listed else []
+    if not kept and one and (m := _PIECE.match(text, one.end())):
+        kept = [m[0][1:-1].replace("\\\\", "\\")]
     return kept
 
 
-def _sound(pattern: str) -> bool:
-    try:
-        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
-    except re.error:
-        return False
-    return True
-
-
-def matcher_pattern(matcher: str) -> str | None:
-    """Java regex of a whole URL: of the likelier reading, else of the other, else None."""
-    tokens = re.sub(r":\w+", "[^/]+", re.sub(r"/:\w+\*", "(?:/.*)?", matcher))
-    readings = [matcher, tokens] if _REGULAR.search(matcher) else [tokens, matcher]
-    return next((java_regex(f"^{x}$") for x in readings if _sound(f"^{x}$")), None)
+def read_matchers(content: str | None) -> list[str]:
+    """Routes that the file says it protects, else those it says it runs on."""
+    text = _COMMENT.sub("", content or "")
+    return [x for m in _PROTECTED.finditer(text) for x in _list_at(text, m.end()) or ()] or configured_matchers(content)
 
 
 def has_guard(content: Column, own: list[str] = ()) -> Column:

@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talonscan.functions.patterns import java_regex
+from talonscan.functions.patterns import matcher_pattern
 from talonscan.functions.paths import route_url
 
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 
 
-def matcher_regex(matcher: str) -> str:
-    """:name is a path segment, /:name* any rest; what looks like a regular expression is taken as one."""
-    if re.search(r"[(|]|\.\*|\\[dwsDWS]|\[\^?", matcher):
-        return java_regex(f"^{matcher}$")
-    return "^" + re.sub(r":\w+", "[^/]+", re.sub(r"/:\w+\*", "(?:/.*)?", matcher)) + r"\z"
-
-
 def covered(url: Column, matchers: list[str] | None) -> Column:
     """Whether middleware covers a URL; no middleware (None) covers none, an empty list of matchers all."""
     if matchers is None:
         return F.lit(False)
     if not matchers:
         return F.lit(True)
-    return F.exists(F.array(*[url.rlike(matcher_regex(m)) for m in matchers]), lambda x: x)
+    patterns = [p for m in matchers if (p := matcher_pattern(m))]
+    return F.exists(F.array(*[url.rlike(p) for p in patterns]), lambda x: x) if patterns else F.lit(False)
 
 
 def routes(files: DataFrame, *kept: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,38 +47,47 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n")))
 
 
-def running(values: Column, block: int = 64) -> Column:
-    """Sum of the elements before each element; by blocks, so that long arrays cost little more than in proportion."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))), lambda k: F.slice(values, k * block + 1, F.lit(block)))
-    sums = F.transform(blocks, total)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda part, k: F.transform(part, lambda _, i: total(F.slice(sums, F.lit(1), k)) + total(F.slice(part, F.lit(1), i))),
-        )
-    )
-
-
 def all_matches(files: DataFrame, pack: list[tuple[str, str, str]] = PACK, cut: int = 80) -> DataFrame:
     """(file, content) to every match with the line it starts on, also of patterns that span lines. One scan for the whole pack.
 
-    The pieces between matches and the matches themselves alternate, so line numbers are running sums of their newlines.
-    Nothing is built for a rule that does not hit.
+    The pieces between matches and the matches themselves alternate, so line numbers are running sums of their newlines, which are
+    all that leaves the JVM besides the matches. Nothing is built for a rule that does not hit.
     """
     hits = [
         F.when(
             F.col("content").rlike(p),
-            F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.split("content", p, -1).alias("g"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("m")),
+            F.struct(
+                F.lit(rule).alias("rule_id"),
+                F.lit(severity).alias("severity"),
+                F.transform(F.split("content", p, -1), newlines).alias("gaps"),
+                F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("found"),
+            ),
         )
         for rule, severity, p in pack
     ]
-    rows = files.select("file", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("file", "h.*")
-    steps = F.zip_with(F.transform("g", newlines), F.transform("m", newlines), lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    rows = rows.select("file", "rule_id", "severity", "g", "m", running(steps).alias("before"))
-    at = F.arrays_zip(F.transform("m", lambda m: F.substring(m, 1, cut)).alias("m"), F.zip_with("g", "before", lambda g, b: newlines(g) + b).alias("line"))
-    rows = rows.select("file", "rule_id", "severity", F.posexplode(at).alias("nth", "x")).where("x.m is not null")
-    return rows.select("file", "rule_id", "severity", F.col("nth").cast("bigint").alias("nth"), (F.col("x.line") + 1).cast("bigint").alias("line"), F.col("x.m").alias("match"))
+    rows = files.select(F.struct("file").alias("of"), F.explode(F.array_compact(F.array(*hits))).alias("h")).select("of", "h.*")
+    rows = rows.select("of", "rule_id", "severity", "gaps", F.transform("found", newlines).alias("inside"), F.transform("found", lambda m: F.substring(m, 1, cut)).alias("found"))
+    of = rows.schema["of"].dataType.simpleString()
+    placed = rows.mapInArrow(_placed, f"of {of}, rule_id string, severity string, nth bigint, line bigint, match string")
+    return placed.select("of.file", "rule_id", "severity", "nth", "line", "match")
+
+
+def _placed(batches):
+    """Rows with newlines of the gaps, newlines inside of the matches, and the matches, to one row for each match with its line."""
+    for batch in batches:
+        gaps, inside, found = (batch.column(k) for k in (3, 4, 5))
+        times = np.diff(inside.offsets.to_numpy())
+        if not times.sum():
+            continue
+        row = np.repeat(np.arange(len(times)), times)
+        first = np.repeat(np.cumsum(times) - times, times)
+        nth = np.arange(len(row)) - first
+        lead = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[np.arange(len(row)) + row]  # a row has one gap more than matches
+        steps = np.cumsum(lead + inside.flatten().to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], steps])[:-1]
+        line = 1 + before - before[first] + lead
+        kept = [batch.column(k).take(pa.array(row)) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(nth), pa.array(line), found.flatten()], ["of", "rule_id", "severity", "nth", "line", "match"])
 
 
 def load_pack(spark, path: str) -> list[tuple[str, str, str]]:

@@ -6,6 +6,7 @@ load; a name that ends with ``*`` stands for all ids that begin so.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -96,9 +97,11 @@ CONTENT = {
     "client_made": [(r"(?:createClient|createServerClient|createBrowserClient)", "i")],
     "mobile_client": [(r"AsyncStorage|EXPO_PUBLIC_", "i")],
     "server_client": [(r"(?:SUPABASE_SERVICE_ROLE|service_role|createServerSupabaseClient|createServerClient|createService(?:Role)?Client|createAdminClient|createServiceSupabase)", "i")],
-    "rule_ids": [(r"(?:[\s\S]*?id:\s*[\"']VG\d+[\"']){3}", "")],
-    "rule_patterns": [(r"pattern:\s*\/", "")],
 }
+#: Signs of files that define rules: three ids, a pattern; the file of the guides.
+RULE_ID = r"id:\s*[\"']VG\d+[\"']"
+RULE_PATTERN = (r"pattern:\s*\/", "")
+GUIDES_PATH = r"(?:^|/)framework-guides\.ts\z"
 #: Signs of a path.
 PATH = {
     "workflow_path": (r"\.github\/workflows", ""),
@@ -234,6 +237,11 @@ def holds(condition: str, of) -> Column:
     return reduce(or_, [reduce(and_, [one(w) for w in part.split()]) for part in condition.split("|")])
 
 
+def advisory():
+    """A test for ids of rules that comments and strings do not silence."""
+    return re.compile(ADVISORY).match
+
+
 def covers(rules: str, rule_id: str) -> bool:
     return any(rule_id.startswith(r[:-1]) if r.endswith("*") else rule_id == r for r in rules.split())
 

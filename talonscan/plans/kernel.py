@@ -138,7 +138,7 @@ def _blocks(spark, sf_dir):
 
 
 def _silenced(spark, sf_dir):
-    rows = files(spark, sf_dir).select("n", F.explode(kernel.directives(F.split("content", "\n", -1), WORD)).alias("d"))
+    rows = files(spark, sf_dir).select("n", F.explode(kernel.directives(F.col("content"), WORD)).alias("d"))
     return rows.groupBy("n", "d.line", "d.rule").agg(F.count("*").alias("files"))
 
 

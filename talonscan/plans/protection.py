@@ -54,21 +54,22 @@ LINKS = [
 ]
 
 
-def _held(s, d, projects):
+def held(s, d, projects, table="supplier", key="s_suppkey"):
+    """Projects by their key (project, n), and their files (project, file, content)."""
     row = "struct<path: string, content: string>"
-    held = F.array(*[F.array(*[F.struct(F.lit(p).cast("string").alias("path"), F.lit(t).cast("string").alias("content")) for p, t in files]).cast(f"array<{row}>") for files in projects])
-    kinds = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("project"), F.pmod("s_suppkey", F.lit(len(projects))).cast("int").alias("n"))
-    return kinds, kinds.select("project", F.inline(F.get(held, F.col("n")))).withColumnRenamed("path", "file")
+    of = F.array(*[F.array(*[F.struct(F.lit(p).cast("string").alias("path"), F.lit(t).cast("string").alias("content")) for p, t in files]).cast(f"array<{row}>") for files in projects])
+    kinds = s.read.parquet(f"{d}/{table}.parquet").select(F.concat(F.lit("s"), key).alias("project"), F.pmod(key, F.lit(len(projects))).cast("int").alias("n"))
+    return kinds, kinds.select("project", F.inline(F.get(of, F.col("n")))).withColumnRenamed("path", "file")
 
 
 def _links(s, d):
-    kinds, files = _held(s, d, LINKED)
+    kinds, files = held(s, d, LINKED)
     columns = ["n", F.col("file").alias("path"), "source", "source_line", "variable", "line", "name", "sink", "severity", "sink_file", "sink_line"]
     return crossfile.cross_file_flows(files).join(kinds, "project").groupBy(*columns).agg(F.count("*").alias("files"))
 
 
 def _protection(s, d):
-    kinds, files = _held(s, d, PROJECTS)
+    kinds, files = held(s, d, PROJECTS)
     found = middleware.protection(files, ["needsKey"])
     return found.join(kinds, "project").groupBy("n", F.col("file").alias("path"), "url", "method", "guarded", "covered", "source").agg(F.count("*").alias("files"))
 
