@@ -11,6 +11,9 @@ Candidates are verified on whole sets and linked as all their pairs would be:
 3. Only buckets that still hold several components are looked at again, classes apart from the bucket's largest component against all of its
    members and one another, in shards. A pair that shares several tables is compared in the first of them.
 
+Before whole sets travel, bitmaps do, of two to four bits for each shingle: a bit that one set has and the other lacks is a shingle that they do not share, which
+bounds their similarity from above. Only classes that some candidate may still be similar to are held against one another by their sets.
+
 Defined results: null text has no words; rows without words have no shingles, are their own component and kept; one word is one shingle. Rows
 count, not ids: repeated rows are copies; rows that share an id or have none like any others; the smallest id of a component leaves nulls out, and a row is kept whose
 id is that one. Other columns are ignored; an empty table gives no rows.
@@ -64,9 +67,50 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, flat)], ["ord", "doc_id", "mark", "size", "halves"])
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Words of a bitmap of the low bits of hashes, its length a power of two, at least twice the set's size. Its halves together are the bitmap of half the length."""
+    size = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[hashes & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t, WIDTH).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["ord", "halves", "hashes"])
+        sets = [shingles(t, WIDTH) for t in batch.column(2).to_pylist()]
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["ord", "halves", "size", "bits", "hashes"])
+
+
+def _in_table(nth: int, halves: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+    """Which of the others share table ``nth`` with k as their first (any, if negative)."""
+    if nth < 0:
+        return np.ones(len(others), bool)
+    both = halves[others] == halves[k]
+    return both[:, :HALVES].argmax(axis=1) * HALVES + both[:, HALVES:].argmax(axis=1) == nth
+
+
+def survivors(nth: int, root: np.ndarray, halves: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], least: int = LEAST) -> np.ndarray:
+    """Mask of the rows that, by their bitmaps, may be similar to a row of another root. Sizes of similar sets differ so little that bitmaps differ in length by a factor of two at most."""
+    keep, level = np.zeros(len(root), bool), np.array([len(w) for w in words])
+    for m in np.unique(level).tolist():
+        own, twice = np.flatnonzero(level == m), np.flatnonzero(level == 2 * m)
+        at = np.concatenate([own, twice])
+        rows = np.stack([words[i] for i in own] + [words[i][:m] | words[i][m:] for i in twice])
+        for n, k in enumerate(own.tolist()):
+            b = at[n + 1 :]
+            able = (root[b] != root[k]) & (100 * np.minimum(sizes[b], sizes[k]) >= least * np.maximum(sizes[b], sizes[k]))
+            able = np.flatnonzero(able)
+            able = able[_in_table(nth, halves, k, b[able])]
+            if not len(able):
+                continue
+            b, other = b[able], rows[n + 1 :][able]
+            alone = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            both = np.minimum(sizes[k] - alone(rows[n] & ~other), sizes[b] - alone(~rows[n] & other))
+            near = 100 * both >= least * (sizes[k] + sizes[b] - both)
+            keep[k] |= near.any()
+            keep[b[near]] = True
+    return keep
 
 
 def spanning(nth: int, ord_: np.ndarray, root: np.ndarray, halves: np.ndarray, sets: list[np.ndarray], least: int = LEAST):
@@ -82,9 +126,7 @@ def spanning(nth: int, ord_: np.ndarray, root: np.ndarray, halves: np.ndarray, s
         while todo and len(left):
             k = todo.pop()
             try_ = left[100 * np.minimum(sizes[left], sizes[k]) >= least * np.maximum(sizes[left], sizes[k])]
-            if nth >= 0 and len(try_):
-                both = halves[try_] == halves[k]
-                try_ = try_[both[:, :HALVES].argmax(axis=1) * HALVES + both[:, HALVES:].argmax(axis=1) == nth]
+            try_ = try_[_in_table(nth, halves, k, try_)]
             if not len(try_):
                 continue
             held = flat[begin[k] : begin[k] + sizes[k]]
@@ -103,16 +145,35 @@ def spanning(nth: int, ord_: np.ndarray, root: np.ndarray, halves: np.ndarray, s
     return items, hubs
 
 
+def _groups(rows: pa.Table):
+    """Bounds of the groups, and the columns gid, nth, ord, root and halves."""
+    gid, nth, ord_, root = (rows.column(k).to_numpy() for k in range(4))
+    halves = rows.column(4).combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
+    edges = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]]).tolist()
+    return zip(edges, edges[1:]), nth, ord_, root, halves
+
+
+def _sifted(batches):
+    """Rows (gid, nth, ord, root, halves, size, bits) sorted by gid to those that may have a link."""
+
+    def take(rows):
+        bounds, nth, _, root, halves = _groups(rows)
+        sizes, words = rows.column(5).to_numpy(), [np.frombuffer(b, np.uint64) for b in rows.column(6).to_pylist()]
+        keep = np.zeros(rows.num_rows, bool)
+        for a, b in bounds:
+            keep[a:b] = survivors(int(nth[a]), root[a:b], halves[a:b], sizes[a:b], words[a:b])
+        yield from rows.select(["gid", "nth", "ord", "root"]).filter(pa.array(keep)).to_batches()
+
+    return complete_groups(batches, 512, take)
+
+
 def _links(batches):
     """Rows (gid, nth, ord, root, halves, hashes) sorted by gid to links."""
 
     def take(rows):
-        gid, nth, ord_, root = (rows.column(k).to_numpy() for k in range(4))
-        halves = rows.column(4).combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
-        sets = [np.frombuffer(b, np.uint64) for b in rows.column(5).to_pylist()]
-        edges = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]]).tolist()
-        items, hubs = [], []
-        for a, b in zip(edges, edges[1:]):
+        bounds, nth, ord_, root, halves = _groups(rows)
+        sets, items, hubs = [np.frombuffer(b, np.uint64) for b in rows.column(5).to_pylist()], [], []
+        for a, b in bounds:
             i, h = spanning(int(nth[a]), ord_[a:b], root[a:b], halves[a:b], sets[a:b])
             items += i
             hubs += h
@@ -123,8 +184,12 @@ def _links(batches):
 
 def _linked(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """dealt (gid, nth, ord, root) to links within each gid."""
-    rows = dealt.join(sets, "ord").select("gid", "nth", "ord", "root", "halves", "hashes")
-    return materialize(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links, "item bigint, hub bigint"), "links")
+    rows = dealt.join(sets, "ord").select("gid", "nth", "ord", "root", "halves", "size", "bits")
+    sifted = materialize(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_sifted, "gid bigint, nth int, ord bigint, root bigint"), "sifted")
+    rows = sifted.join(sets, "ord").select("gid", "nth", "ord", "root", "halves", "hashes")
+    links = materialize(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links, "item bigint, hub bigint"), "links")
+    discard(sifted)
+    return links
 
 
 def _every(n) -> Column:
@@ -185,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(keyed.join(buckets, "key"), "shared")
     wanted = shared.select("ord").distinct()
     sets = rows.join(prints.join(wanted, "ord", "left_semi").select("ord", "halves"), "ord").select("ord", "halves", "text")
-    sets = materialize(sets.mapInArrow(_sets, "ord bigint, halves array<bigint>, hashes binary"), "sets")
+    sets = materialize(sets.mapInArrow(_sets, "ord bigint, halves array<bigint>, size bigint, bits binary, hashes binary"), "sets")
     roots = link_classes(shared, sets)
 
     named = classes.join(roots, F.col("ord") == F.col("item"), "left").select("mark", "first_id", F.coalesce("root", "ord").alias("root"))

@@ -100,3 +100,19 @@ def test_sketches_estimate_similarity_and_miss_few():
         x, y = minhash.half_sketches(a) == minhash.half_sketches(b), minhash.HALVES
         missed += not (x[:y].any() and x[y:].any())
     assert missed <= 2
+
+
+def test_bitmaps_never_lose_a_link():
+    """Pairs at and above the limit survive at every size, pairs far below it mostly do not."""
+    rng = np.random.default_rng(2)
+    lost = 0
+    for n in [1, 2, 5, 9, 31, 32, 33, 64, 65, 100, 129, 250, 512, 515, 2000]:
+        base = np.unique(rng.integers(0, 1 << 63, 2 * n, np.uint64))[:n]
+        rows = [base, base[: -(-4 * n // 5)], np.unique(np.concatenate([base, rng.integers(0, 1 << 63, n // 4, np.uint64)])), np.unique(rng.integers(0, 1 << 63, n, np.uint64))]
+        words, sizes, none = [minhash.bitmap(r) for r in rows], np.array([len(r) for r in rows]), np.zeros((4, 2 * minhash.HALVES), np.int64)
+        kept = minhash.survivors(-1, np.arange(4), none, sizes, words)
+        for i in range(3):
+            near = any(5 * len(np.intersect1d(rows[i], rows[j])) >= 4 * len(np.union1d(rows[i], rows[j])) for j in range(3) if j != i)
+            assert kept[i] or not near
+        lost += not kept[3]
+    assert lost >= 11
