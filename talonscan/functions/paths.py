@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Extension to language.
 LANGUAGES = {
-    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
     "py": "python", "go": "go", "java": "java", "rb": "ruby", "php": "php", "sh": "shell", "bash": "shell", "sql": "sql",
     "html": "html", "yml": "yaml", "yaml": "yaml", "tf": "terraform", "json": "json", "toml": "toml",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talonscan.functions.patterns import java_regex
+from talonscan.operators.rules import all_matches
 
 # What makes a change a downgrade. (category, title, severity, what the text has to be about or None, ways), and each way is
 # (has to be in the text before, must not be there, has to be in the text after, must not be there).
@@ -139,3 +140,45 @@ def host_settings(files: DataFrame, trusted: list[str] = (), api_hosts: dict[str
     broken = F.array(_finding(F.lit(True), "VG-HOST-001", "info", "high"))
     found = F.when(kind == "hook", F.flatten(F.transform("h", hook))).when(kind == "tool", tools).when((kind == "server") & ~_trusted(t, trusted), servers).when(kind == "broken", broken)
     return parts.select("file", "subject", F.inline(F.array_compact(found)))
+
+
+# Files of a host that set its environment, and what they set: base URLs, exported keys, keys that are shown; hosts of the machine itself.
+ENVIRONMENTS = [".env", ".env.local", ".env.production", ".env.development"]
+PROFILES = [".bashrc", ".zshrc", ".profile", ".bash_profile", ".zprofile"]
+HOST_FILES = [".gemini/settings.json", ".codeium/windsurf/mcp_config.json"]
+PROVIDERS = {"ANTHROPIC": (["api.anthropic.com"], "VG882"), "OPENAI": (["api.openai.com"], "VG883")}
+BASE_URL = r"(?i)(?:{0}_BASE_URL|{0}_API_BASE)\s*=\s*['\"]?(https?://[^\s'\"#]+)"
+KEY_EXPORT = r"(?i)export\s+(?:{0}_API_KEY|{0}_KEY)\s*=\s*['\"]?[^\s'\"]+"
+KEY_SHOWN = r"(?i)(?:echo|cat|printenv|env\s|set\s)[\s|]*(?:\$(?:{0}|CLAUDE|API)_\w+|\$\{{(?:{0}|CLAUDE|API)_\w+\}})"
+OWN_HOST = r"^(?:localhost|127\.0\.0\.1|0\.0\.0\.0|::1)"
+
+
+def host_exports(files: DataFrame, trusted: list[str] = (), providers: dict[str, tuple[list[str], str]] = PROVIDERS) -> DataFrame:
+    """(file, content) of a host to (file, line, rule_id, kind, severity, verdict, confidence, subject): base URLs that lead elsewhere, exported keys, keys that are shown.
+
+    ``providers`` gives official hosts and the rule for each prefix of variables; ``trusted`` are base URLs that may be set. Exports and shown keys count in
+    shell profiles. Null content has none; ``subject`` is the host, else the variable.
+    """
+    name = F.regexp_replace("file", "^.*/", "")
+    either = "(?:" + "|".join(providers) + ")"
+    profile = name.isin(PROFILES)
+    inside = F.exists(F.array(*[F.col("file").endswith(p) for p in HOST_FILES]), lambda x: x)
+    set_ = files.where(profile | name.isin(ENVIRONMENTS) | inside).select("file", "content")
+    patterns = [("url", "high", BASE_URL.format(either)), ("export", "high", KEY_EXPORT.format(either)), ("shown", "medium", KEY_SHOWN.format(either))]
+    found = all_matches(set_, patterns, cut=2000).withColumnRenamed("rule_id", "kind").where((F.col("kind") == "url") | F.regexp_replace("file", "^.*/", "").isin(PROFILES))
+    url = F.regexp_extract("match", BASE_URL.format(either), 1)
+    variable = F.upper(F.regexp_extract("match", r"(?i)((?:" + "|".join([*providers, "CLAUDE", "API"]) + r")_\w+)", 1))
+    host = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]+)", 1))
+    official, rule = F.lit(False), F.lit(None).cast("string")
+    for prefix, (hosts, id_) in providers.items():
+        mine = variable.startswith(prefix)
+        official = official | (mine & F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h))))
+        rule = F.when(mine, id_).otherwise(rule)
+    is_url = F.col("kind") == "url"
+    kept = found.where(~is_url | ~(official | (url.isin(list(trusted)) if trusted else F.lit(False))))
+    local = is_url & host.rlike(OWN_HOST)
+    first = next(iter(providers.values()))[1]
+    return kept.select(
+        "file", "line", F.when(is_url, rule).otherwise(F.lit(first)).alias("rule_id"), "kind", F.when(local, "medium").otherwise(F.col("severity")).alias("severity"),
+        F.when(local, "observed").otherwise("risky").alias("verdict"), F.when(is_url, "medium").when(F.col("kind") == "export", "high").otherwise("low").alias("confidence"), F.when(is_url, host).otherwise(variable).alias("subject"),
+    )

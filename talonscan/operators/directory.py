@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talonscan.functions.paths import is_test_path
 from talonscan.functions.scoring import grade, score, severity_counts, severity_rank
+from talonscan.functions.tables import written
+from talonscan.operators import kernel
+from talonscan.operators.findings import file_ranking
 from talonscan.operators.rules import all_matches
+from talonscan.sources import files as files_
 
 #: Families of rules by parts of their names, and by id.
 FAMILIES = {
@@ -69,6 +75,33 @@ def report(findings: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("score", points).withColumn("grade", grade(points))
 
 
+class Scan(NamedTuple):
+    """What a scan of a tree gives, as tables: one row of report; findings; the ten files with most of them; hashes of what was read; what was not and why."""
+
+    report: DataFrame
+    findings: DataFrame
+    ranking: DataFrame
+    hashes: DataFrame
+    skipped: DataFrame
+
+
+def scan_directory(spark: SparkSession, path: str, pack: list[kernel.Rule], names: dict[str, str] | None = None, recursive: bool = True, excluded: list[str] = files_.EXCLUDED, max_bytes: int = files_.MAX_BYTES, **rest) -> Scan:
+    """A tree of files to its report. ``names`` are names of rules; ``rest`` goes to the kernel (word, severities, disabled, auth_functions).
+
+    Files that are read but of which nothing is found count as scanned. Findings are written once, since report, ranking and listing all read them.
+    """
+    read = files_.read_tree(spark, path, recursive, excluded, max_bytes)
+    rows = read.select("file", F.col("file").alias("path"), "language", F.lit(None).cast("string").alias("framework"), "content")
+    known = F.create_map(*[F.lit(x) for p in names.items() for x in p]) if names else None
+    named = F.coalesce(F.try_element_at(known, "rule_id"), F.col("rule_id")) if names else F.col("rule_id")
+    found = written(deduplicate(kernel.scan(rows, pack, **rest).withColumn("name", named)), "findings")
+    survey = files_.survey_tree(spark, path, recursive, excluded, max_bytes)
+    counts = survey.agg(F.count_if(F.col("skipped") == "too large").alias("skipped"), F.count_if(F.col("skipped") == "unsupported").alias("unsupported"), F.count_if(F.col("skipped") == "generated").alias("generated"))
+    whole = report(found, survey.where("skipped is null")).join(F.broadcast(counts))  # two rows of one
+    hashes = read.select("file", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+    return Scan(whole.withColumn("pack", F.lit(len(pack))), found, file_ranking(found), hashes, survey.where("skipped is not null"))
+
+
 def secrets(files: DataFrame, providers: list[tuple[str, str, str]] = PROVIDERS, ignored: list[str] = ()) -> DataFrame:
     """(file, content) to (file, provider, severity, line, match, ignored, actionable): one for a provider and line.
 

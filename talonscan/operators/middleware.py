@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talonscan.functions.paths import route_url
 from talonscan.functions.patterns import java_regex, matcher_pattern
 from talonscan.operators.routes import routes
 
@@ -109,12 +110,30 @@ def middleware(files: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "project string, middleware string, guards boolean, patterns array<string>, everything boolean")
 
 
+def sheltered(routes_: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(project, file) of routes that lie below a layout with a guard, (project, folder): each folder above a route is joined by equality."""
+    parts = F.split(F.regexp_replace("file", "/[^/]*$", ""), "/")
+    above = routes_.select("project", "file").distinct().select("project", "file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("folder"))
+    return above.join(layouts, ["project", "folder"], "left_semi").select("project", "file").distinct()
+
+
 def protection(files: DataFrame, own: list[str] = ()) -> DataFrame:
-    """(project, file, content) to (project, file, url, method, guarded, covered, source) for each route; project is a string."""
+    """(project, file, content) to (project, file, url, method, guarded, covered, source) for each route and page; project is a string.
+
+    ``method`` of a page is PAGE. A guard in the route, middleware that covers it, or a guard in a layout above it protects it.
+    """
+    files = files.select(F.col("project").cast("string").alias("project"), "file", "content")
     handlers = files.where(F.col("file").rlike(r"(?:^|/)route\.[jt]sx?$"))
-    found = routes(handlers.select(F.struct("project", "file", has_guard(F.col("content"), own).alias("guarded")).alias("of"), "file", "content"), "of")
+    guarded = has_guard(F.col("content"), own).alias("guarded")
+    found = routes(handlers.select(F.struct("project", "file", guarded).alias("of"), "file", "content"), "of")
     found = found.select("of.project", "file", "url", "method", "of.guarded")
+    pages = files.where(F.col("file").rlike(r"/page\.(?:ts|tsx|js|jsx)$")).select("project", "file", route_url(F.col("file")).alias("url"), F.lit("PAGE").alias("method"), guarded)
+    found = found.unionByName(pages)
     hit = F.col("everything") | F.exists("patterns", lambda p: F.rlike("url", p))
     joined = found.join(middleware(files), "project", "left").withColumn("covered", F.coalesce(F.col("guards") & hit, F.lit(False)))
-    source = F.when(F.col("guarded"), "auth-guard").when(F.col("covered"), "middleware").otherwise("none")
-    return joined.select("project", "file", "url", "method", "guarded", "covered", source.alias("source"))
+    layout = r"/layout\.(?:ts|tsx|js|jsx)$"
+    layouts = files.where(F.col("file").rlike(layout) & has_guard(F.col("content"), own)).select("project", F.regexp_replace("file", layout, "").alias("folder")).distinct()
+    below = sheltered(joined.where("not guarded and not covered"), layouts).withColumn("sheltered", F.lit(True))
+    joined = joined.join(below, ["project", "file"], "left")
+    source = F.when(F.col("guarded"), "auth-guard").when(F.col("covered"), "middleware").when(F.col("sheltered"), "layout").otherwise("none")
+    return joined.select("project", "file", "url", "method", (F.col("guarded") | (source == "layout")).alias("guarded"), "covered", source.alias("source"))

@@ -162,7 +162,7 @@ def queries():
 
 
 def literals(rows: list[tuple]) -> str:
-    shown = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    shown = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
     return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
 
 

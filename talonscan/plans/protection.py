@@ -21,6 +21,8 @@ PROJECTS = [
     [("middleware.ts", "const p = createRouteMatcher(['/p(.*)']); export const config = { matcher: ['/x'] };"), ("app/p/q/route.ts", GET), ("app/x/route.ts", GET)],
     [("middleware.ts", "export default function middleware() {}"), ("app/a/route.ts", "export const PUT = mine(() => needsKey());")],
     [("middleware.ts", "matcher: ['/a(', '/b']"), ("app/b/route.ts", GET), ("app/c/route.ts", None)],
+    [("app/admin/layout.tsx", "const s = await getServerSession(o);"), ("app/admin/users/page.tsx", "x"), ("app/admin/(in)/a/route.ts", GET), ("app/page.tsx", "x"), ("app/administer/route.ts", GET), ("app/own/page.jsx", "await getSession(req)")],
+    [("layout.tsx", "auth()"), ("app/layout.tsx", "return children;"), ("app/a/page.tsx", "x")],
 ]
 #: n, path, url, method, guarded, covered, source.
 PROTECTED = [
@@ -31,6 +33,8 @@ PROTECTED = [
     (3, "app/b/route.ts", "/b", "POST", True, False, "auth-guard"), (4, "app/a/route.ts", "/a", "GET", False, False, "none"),
     (5, "app/p/q/route.ts", "/p/q", "GET", False, True, "middleware"), (5, "app/x/route.ts", "/x", "GET", False, False, "none"),
     (6, "app/a/route.ts", "/a", "PUT", True, True, "auth-guard"), (7, "app/b/route.ts", "/b", "GET", False, True, "middleware"),
+    (8, "app/admin/users/page.tsx", "/admin/users", "PAGE", True, False, "layout"), (8, "app/admin/(in)/a/route.ts", "/admin/a", "GET", True, False, "layout"), (8, "app/page.tsx", "/", "PAGE", False, False, "none"),
+    (8, "app/administer/route.ts", "/administer", "GET", False, False, "none"), (8, "app/own/page.jsx", "/own", "PAGE", True, False, "auth-guard"), (9, "app/a/page.tsx", "/a", "PAGE", False, False, "none"),
 ]
 
 #: Files of each kind of project: calls in one file, functions in another.

@@ -17,6 +17,26 @@ def test_read_tree(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("Dockerfile", "FROM a", "dockerfile"), ("src/a.ts", "const x = 1\n", "typescript")]
 
 
+def test_scan_directory(spark, tmp_path):
+    """From a tree to its report: what is excluded is not counted, what is skipped is, with a reason."""
+    from talonscan.operators import directory, kernel
+
+    texts = {
+        "src/a.ts": "eval(x);\neval(y); eval(z);\n", "src/b.mts": "const a = 1;", "src/c.js": "// eval(x)", "node_modules/p/x.js": "eval(x)", ".svelte-kit/y.js": "eval(x)", "obj/z.js": "eval(x)",
+        "lib/v.umd.min.js": "eval(x)", "lib/w-bundle.js": "eval(x)", "lib/x.production.cjs": "eval(x)", "lib/UP.MIN.JS": "eval(x)", "logo.svg": "<svg/>", "big.py": "x" * 3000, "Dockerfile": "FROM a",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    pack = [kernel.Rule("VG014", "high", r"\beval\s*\(", ("javascript", "typescript")), kernel.Rule("VG200", "low", r"\AFROM\s", ("dockerfile",))]
+    got = directory.scan_directory(spark, str(tmp_path), pack, max_bytes=2000)
+    assert {(r.file, r.skipped) for r in got.skipped.collect()} == {("logo.svg", "unsupported"), ("big.py", "too large"), *((f"lib/{n}", "generated") for n in ("v.umd.min.js", "w-bundle.js", "x.production.cjs", "UP.MIN.JS"))}
+    row = got.report.collect()[0]
+    assert (row.scanned, row.skipped, row.unsupported, row.generated, row.total, row.high, row.files, row.score, row.grade, row.pack) == (4, 1, 1, 4, 3, 2, 2, 50, "C", 2)
+    assert [tuple(r) for r in got.ranking.collect()] == [("src/a.ts", 2), ("Dockerfile", 1)]
+    assert {r.file for r in got.hashes.collect()} == {"src/a.ts", "src/b.mts", "src/c.js", "Dockerfile"}
+
+
 def test_manifests(spark):
     rows = [
         ("a/package.json", '{"dependencies":{"x":"^1.2.3","@s/y":"latest"},"devDependencies":{"z":"~4"}}'),
