@@ -98,10 +98,10 @@ def _counted(findings: DataFrame, label: str) -> DataFrame:
     return findings.groupBy("file").agg(F.count("*").alias(f"{label}"), F.collect_set(key).alias(f"{label}_keys"))
 
 
-def _scanned(candidates: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """candidates with ``after`` and ``after_keys``."""
-    found = _counted(scan(candidates), "after")
-    rows = candidates.join(found.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"), "left").drop("_file")
+def _scanned(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """candidates with ``after`` and ``after_keys`` of their findings."""
+    counted = _counted(found, "after").withColumnRenamed("file", "_file")
+    rows = candidates.join(counted, F.col("file") == F.col("_file"), "left").drop("_file")
     return rows.withColumn("after", F.coalesce("after", F.lit(0))).withColumn("after_keys", F.coalesce("after_keys", F.array().cast("array<string>")))
 
 
@@ -117,32 +117,43 @@ def fix_loop(files: DataFrame, scan: Callable[[DataFrame], DataFrame], rounds: i
     """
     kept = files.columns
     none = F.array().cast("array<string>")
-    start = _counted(scan(files), "before")
-    rows = files.join(start, "file", "left").withColumn("before", F.coalesce("before", F.lit(0))).withColumn("before_keys", F.coalesce("before_keys", none))
+    scan_ = lambda rows, label: written(scan(rows.select(kept)).select("file", "rule_id", "severity", "line", "match"), label)
+    found = scan_(files, "found")
+    rows = files.join(_counted(found, "before"), "file", "left").withColumn("before", F.coalesce("before", F.lit(0))).withColumn("before_keys", F.coalesce("before_keys", none))
     rows = rows.withColumn("initial", F.col("before")).withColumn("initial_keys", F.col("before_keys")).withColumn("applied", F.array().cast(f"array<{_EDIT}>")).withColumn("rejected", none)
     active, done = written(rows, "fixes"), []
+    sound = F.size(F.array_except("after_keys", "before_keys")) == 0
     for _ in range(rounds):
-        edits = edits_of(scan(active.where("before > 0").select(kept)), active)
-        planned = active.join(edits, "file", "left")
         able = F.filter(F.coalesce("edits", F.array().cast(f"array<{_EDIT}>")), lambda e: ~F.array_contains(F.col("rejected"), _tried(e)))
-        planned = planned.withColumn("edits", able)
+        planned = active.join(edits_of(found, active), "file", "left").withColumn("edits", able)
         first = F.filter("edits", lambda e, i: (i == 0) | (F.get("edits", i - 1)["line"] != e["line"]))
         planned = written(planned.withColumn("batch", first), "planned")
+        if not planned.where(F.size("batch") > 0).limit(1).count():
+            discard(planned)
+            break
         whole = planned.where(F.size("batch") > 0).withColumn("content", applied(F.col("content"), F.col("batch")))
-        sound = F.size(F.array_except("after_keys", "before_keys")) == 0
-        together = written(_scanned(whole, scan).withColumn("stands", sound & (F.col("after") <= F.col("before") - F.size("batch"))), "together")
-        # where the edits do not stand together, each of them alone
-        apart = planned.join(together.where("not stands").select("file"), "file", "left_semi").select("*", F.posexplode("edits").alias("nth", "one"))
-        apart = apart.withColumn("_whole", F.col("file")).withColumn("file", F.concat(F.col("file").cast("string"), F.lit("\0"), F.col("nth"))).withColumn("batch", F.array("one"))
-        tried = _scanned(apart.withColumn("content", applied(F.col("content"), F.col("batch"))), scan).withColumn("stands", sound & (F.col("after") < F.col("before")))
-        tried = written(tried.select("_whole", "nth", "one", "content", "after", "after_keys", "stands"), "tried")
-        best = tried.groupBy("_whole").agg(F.min(F.when(F.col("stands"), F.col("nth"))).alias("best"))
-        seen = tried.join(best, "_whole").where("best is null or nth < best").groupBy("_whole").agg(F.collect_list(_tried(F.col("one"))).alias("seen"))
-        taken = tried.join(best.select(F.col("_whole").alias("_f"), "best"), (F.col("_whole") == F.col("_f")) & (F.col("nth") == F.col("best")))
-        taken = taken.select(F.col("_whole").alias("_f"), F.col("content").alias("_content"), F.array("one").alias("_batch"), F.col("after").alias("_after"), F.col("after_keys").alias("_keys"))
-        stood = together.where("stands").select(F.col("file").alias("_f"), F.col("content").alias("_content"), F.col("batch").alias("_batch"), F.col("after").alias("_after"), F.col("after_keys").alias("_keys"))
-        new = stood.unionByName(taken)
-        joined = planned.join(new, F.col("file") == F.col("_f"), "left").join(seen.withColumnRenamed("_whole", "_s"), F.col("file") == F.col("_s"), "left")
+        after = scan_(whole, "found")
+        together = written(_scanned(whole, after).withColumn("stands", sound & (F.col("after") <= F.col("before") - F.size("batch"))), "together")
+        new = together.where("stands").select(F.col("file").alias("_f"), F.col("content").alias("_content"), F.col("batch").alias("_batch"), F.col("after").alias("_after"), F.col("after_keys").alias("_keys"))
+        news = after.join(new.select("_f"), F.col("file") == F.col("_f"), "left_semi")
+        gone, seen = [after, together], None
+        if together.where("not stands").limit(1).count():
+            # where the edits do not stand together, each of them alone
+            apart = planned.join(together.where("not stands").select("file"), "file", "left_semi").select("*", F.posexplode("edits").alias("nth", "one"))
+            apart = apart.withColumn("_whole", F.col("file")).withColumn("file", F.concat(F.col("file").cast("string"), F.lit("\0"), F.col("nth"))).withColumn("batch", F.array("one"))
+            apart = apart.withColumn("content", applied(F.col("content"), F.col("batch")))
+            alone = scan_(apart, "found")
+            tried = _scanned(apart, alone).withColumn("stands", sound & (F.col("after") < F.col("before")))
+            tried = written(tried.select("_whole", "file", "nth", "one", "content", "after", "after_keys", "stands"), "tried")
+            best = tried.groupBy("_whole").agg(F.min(F.when(F.col("stands"), F.col("nth"))).alias("best"))
+            seen = tried.join(best, "_whole").where("best is null or nth < best").groupBy("_whole").agg(F.collect_list(_tried(F.col("one"))).alias("seen")).withColumnRenamed("_whole", "_s")
+            taken = tried.join(best.select(F.col("_whole").alias("_f"), "best"), (F.col("_whole") == F.col("_f")) & (F.col("nth") == F.col("best")))
+            new = new.unionByName(taken.select("_f", F.col("content").alias("_content"), F.array("one").alias("_batch"), F.col("after").alias("_after"), F.col("after_keys").alias("_keys")))
+            renamed = alone.join(taken.select(F.col("file").alias("_c"), "_f"), F.col("file") == F.col("_c")).select(F.col("_f").cast(files.schema["file"].dataType).alias("file"), "rule_id", "severity", "line", "match")
+            news = news.unionByName(renamed)
+            gone += [alone, tried]
+        joined = planned.join(new, F.col("file") == F.col("_f"), "left")
+        joined = joined.join(seen, F.col("file") == F.col("_s"), "left") if seen is not None else joined.withColumn("seen", none)
         hit = F.col("_f").isNotNull()
         pick = lambda name, other: F.when(hit, F.col(name)).otherwise(F.col(other))
         state = joined.select(
@@ -150,13 +161,12 @@ def fix_loop(files: DataFrame, scan: Callable[[DataFrame], DataFrame], rounds: i
             pick("_after", "before").alias("before"), pick("_keys", "before_keys").alias("before_keys"), "initial", "initial_keys",
             F.when(hit, F.concat("applied", "_batch")).otherwise(F.col("applied")).alias("applied"), F.concat("rejected", F.coalesce("seen", none)).alias("rejected"), hit.alias("changed"),
         )
-        state = written(state, "state")
-        for table in (active, planned, together, tried):
+        state, news = written(state, "state"), written(news, "found")
+        for table in (active, planned, found, *gone):
             discard(table)
         done.append(state.where("not changed").drop("changed"))
-        active = written(state.where("changed").drop("changed"), "fixes")
-        if not active.limit(1).count():
-            break
+        active, found = written(state.where("changed").drop("changed"), "fixes"), news
+    discard(found)
     rows = active
     for d in done:
         rows = rows.unionByName(d)
