@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import posixpath
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,8 +128,9 @@ def _carriers(parameter: str, lines: list[str], safe: bool) -> set[str]:
 def entries(file: str, text: str):
     """(module, name, arg, sink, sink line) of exported functions; sink ``return`` where the argument comes back."""
     names = exports(text)
+    breaks = [m.start() for m in re.finditer("\n", text)] if names else []
     for name, parameters, start, end in functions(text) if names else ():
-        first = text.count("\n", 0, start) + 1
+        first = bisect_left(breaks, start) + 1
         lines = text[start:end].split("\n")
         for k, parameter in enumerate(parameters if name in names else ()):
             if not parameter:
@@ -145,10 +146,13 @@ def entries(file: str, text: str):
                     yield EXTENSION.sub("", file), exported, k, "return", first
 
 
-def _arguments(text: str) -> list[str]:
+_MARK = re.compile(r"[()\[\]{},]")
+
+
+def _arguments(text: str, begin: int = 0) -> list[str]:
     """Arguments of a call, from behind its bracket; commas inside brackets do not part them."""
-    out, depth, begin = [], 0, 0
-    for m in re.finditer(r"[()\[\]{},]", text):
+    out, depth = [], 0
+    for m in _MARK.finditer(text, begin):
         if m[0] in "([{":
             depth += 1
         elif m[0] == ",":
@@ -198,7 +202,7 @@ def calls(file: str, text: str, further: list[str] = ()):
         for m in re.finditer(rf"(?<![\w$.]){re.escape(local)}{member}\s*\(", text):
             n = bisect_right(starts, m.start())
             into = _ASSIGN.search(lines[n - 1])
-            for k, arg in enumerate(_arguments(text[m.end() :])):
+            for k, arg in enumerate(_arguments(text, m.end())):
                 held = next((w for w in WORD.findall(arg) if w in tainted), None)
                 kind, at = tainted[held] if held else (_source(arg), n)
                 if kind:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def version_key(version: Column) -> Column:
-    """Comparable array of the numbers of a dotted version."""
-    part = lambda n: F.coalesce(F.try_element_at(F.split(version, r"\."), F.lit(n)).cast("int"), F.lit(0))
-    return F.array(part(1), part(2), part(3))
+    """Comparable array of the four first numbers of a dotted version, missing ones 0, and whether it is a release: what follows a hyphen comes before it."""
+    plain = F.split(F.regexp_extract(version, r"^[vV=\s]*([0-9.]*)", 1), r"\.")
+    part = lambda n: F.coalesce(F.try_element_at(plain, F.lit(n)).try_cast("int"), F.lit(0))
+    return F.array(part(1), part(2), part(3), part(4), (~F.coalesce(version.contains("-"), F.lit(False))).cast("int"))
 
 
 def advisories_hit(packages: DataFrame, advisories: DataFrame) -> DataFrame:

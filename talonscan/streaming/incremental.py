@@ -17,7 +17,7 @@ def read_files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataF
 
 def scan_stream(files: DataFrame, delay: str = "1 day", pack: list[tuple[str, str, str]] = PACK) -> DataFrame:
     """Findings of changed files; a content that comes again within the delay is scanned once, so state is bounded."""
-    fresh = files.withWatermark("modified", delay).withColumn("_h", F.xxhash64("file", "content")).dropDuplicatesWithinWatermark(["_h"])
+    fresh = files.withWatermark("modified", delay).withColumn("_h", F.sha2(F.col("content").cast("binary"), 256)).dropDuplicatesWithinWatermark(["file", "_h"])
     return line_matches(fresh, pack)
 
 

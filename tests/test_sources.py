@@ -3,6 +3,8 @@
 import datetime
 import re
 
+from pyspark.sql import functions as F
+
 from talonscan.functions.patterns import glob_regex, java_regex
 from talonscan.operators import config, middleware, packages, routes, rules, taint
 from talonscan.sources import diffs, files, manifests
@@ -62,6 +64,14 @@ def test_manifests(spark):
     }
 
 
+def test_versions(spark):
+    order = ["0.9", "1.2.3-beta.1", "1.2.3", "v1.2.3.4", "1.2.10", "1.10", "2"]
+    keys = [tuple(r.k) for r in spark.createDataFrame([(n, v) for n, v in enumerate(order)], "n int, v string").orderBy("n").select(packages.version_key(F.col("v")).alias("k")).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    odd = spark.createDataFrame([("latest",), ("",), (None,), ("99999999999.1",)], "v string").select(packages.version_key(F.col("v")).alias("k")).collect()
+    assert [r.k[:2] for r in odd] == [[0, 0], [0, 0], [0, 0], [0, 1]]
+
+
 def test_diff(spark):
     text = "--- a/f\n+++ b/f\n@@ -1,2 +1,3 @@\n keep\n+two\n-gone\n+three\n\\ No newline\n@@ -9 +20 @@ f()\n+twenty\n"
     df = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, diff string")
@@ -131,3 +141,19 @@ def test_long_lines(spark):
     assert [(r.file, r.title) for r in found] == [("f", "Privileged mode enabled")]
     host = spark.createDataFrame([("s", '{"hooks": {"Stop": [{"command": "' + "a; " * (n // 3) + '"}]}, "allowedTools": ["' + "t" * n + '*"]}')], "file string, content string")
     assert [r.rule_id for r in config.host_settings(host).collect()] == ["VG884"]
+
+
+def test_flows_across_files_grow_in_proportion():
+    """Calls and functions of a long file are found without counting from its start."""
+    import time
+
+    from talonscan.operators import crossfile
+
+    def took(n):
+        text = "import { f } from './g';\nconst a = req.body.x;\n" + "".join(f"f(a, {k});\nexport function g{k}(q) {{\n  eval(q);\n}}\n" for k in range(n))
+        began = time.process_time()
+        assert len(list(crossfile.calls("a.ts", text))) == n and len(list(crossfile.entries("a.ts", text))) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 7 * took(2000) + 0.5
