@@ -14,6 +14,9 @@ Candidates are verified on whole sets and linked as all their pairs would be:
 Before whole sets travel, bitmaps do, of two to four bits for each shingle: a bit that one set has and the other lacks is a shingle that they do not share, which
 bounds their similarity from above. Only classes that some candidate may still be similar to are held against one another by their sets.
 
+Where few rows of a large table are wanted (keys of buckets, classes in buckets), a broadcast bitmap of ``MARKED`` bits, of fixed size, keeps most others from
+the shuffle, or from being read again; it lets some pass, which the joins behind it drop, and none that is wanted is lost.
+
 Defined results: null text has no words; rows without words have no shingles, are their own component and kept; one word is one shingle. Rows
 count, not ids: repeated rows are copies; rows that share an id or have none like any others; the smallest id of a component leaves nulls out, and a row is kept whose
 id is that one. Other columns are ignored; an empty table gives no rows.
@@ -36,6 +39,8 @@ WIDTH = 2
 LEAST = 80
 DEPTH, HALVES = 2, 10
 SHARD = 1024
+#: Bits of broadcast bitmaps: 8 MB, whatever the input.
+MARKED = 1 << 26
 _FACTORS = np.random.default_rng(12).integers(0, 1 << 63, (2, 2 * HALVES * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,17 +59,17 @@ def table_keys() -> Column:
     return F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: key(x, i, y, j))))
 
 
+def _halves(sets: list[np.ndarray]) -> pa.Array:
+    flat = [half_sketches(s) if len(s) else np.zeros(2 * HALVES, np.uint64) for s in sets]
+    values = pa.array(np.concatenate(flat).view(np.int64)) if flat else pa.array([], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 2 * HALVES), values)
+
+
 def _sketches(batches):
     for batch in batches:
-        marks, sizes, halves = [], [], []
-        for text in batch.column(2).to_pylist():
-            s = shingles(text, WIDTH)
-            marks.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            halves.append(half_sketches(s) if len(s) else np.zeros(2 * HALVES, np.uint64))
-        flat = pa.array(np.concatenate(halves).view(np.int64)) if halves else pa.array([], pa.int64())
-        at = pa.array(np.arange(len(halves) + 1, dtype=np.int32) * 2 * HALVES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, flat)], ["ord", "doc_id", "mark", "size", "halves"])
+        sets = [shingles(t, WIDTH) for t in batch.column(2).to_pylist()]
+        marks = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks, pa.array([len(s) for s in sets], pa.int64()), _halves(sets)], ["ord", "doc_id", "mark", "size", "halves"])
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -77,9 +82,9 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 def _sets(batches):
     for batch in batches:
-        sets = [shingles(t, WIDTH) for t in batch.column(2).to_pylist()]
+        sets = [shingles(t, WIDTH) for t in batch.column(1).to_pylist()]
         columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["ord", "halves", "size", "bits", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _halves(sets), *columns], ["ord", "halves", "size", "bits", "hashes"])
 
 
 def _in_table(nth: int, halves: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
@@ -192,6 +197,21 @@ def _linked(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
+def marked(values: DataFrame) -> DataFrame:
+    """A column of hashes to (page, bits): a bitmap of MARKED bits in pages of 4 KB, those without a bit left out."""
+    h = F.pmod(F.col(values.columns[0]), F.lit(MARKED))
+    return values.groupBy(F.bitmap_bucket_number(h).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
+
+
+def maybe_marked(rows: DataFrame, by: Column, pages: DataFrame) -> DataFrame:
+    """Rows whose hash ``by`` may be among the marked ones; none that is goes missing."""
+    h = F.pmod(by, F.lit(MARKED))
+    held = rows.select("*", F.bitmap_bucket_number(h).alias("_page"), F.bitmap_bit_position(h).cast("int").alias("_at"))
+    met = held.join(F.broadcast(pages), F.col("_page") == F.col("page"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.col("_at") % 8) == 1).select(*rows.columns)
+
+
 def _every(n) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
@@ -247,10 +267,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = buckets.groupBy("n", "x", "hub").agg(F.min(F.struct("nth", "key")).alias("k"))
     shards = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / SHARD, F.lit(1))))).cast("int")
     buckets = materialize(buckets.select("k.key", "hub", shards.alias("shards")), "buckets")
-    shared = materialize(keyed.join(buckets, "key"), "shared")
-    wanted = shared.select("ord").distinct()
-    sets = rows.join(prints.join(wanted, "ord", "left_semi").select("ord", "halves"), "ord").select("ord", "halves", "text")
-    sets = materialize(sets.mapInArrow(_sets, "ord bigint, halves array<bigint>, size bigint, bits binary, hashes binary"), "sets")
+    shared = materialize(maybe_marked(keyed, F.col("key"), marked(buckets.select("key"))).join(buckets, "key"), "shared")
+    wanted = maybe_marked(rows.select("ord", "text"), F.xxhash64("ord"), marked(shared.select(F.xxhash64("ord"))))
+    sets = materialize(wanted.mapInArrow(_sets, "ord bigint, halves array<bigint>, size bigint, bits binary, hashes binary"), "sets")
     roots = link_classes(shared, sets)
 
     named = classes.join(roots, F.col("ord") == F.col("item"), "left").select("mark", "first_id", F.coalesce("root", "ord").alias("root"))
