@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from talonscan.llm.common import table
 from talonscan.llm.spans import before, block_sums
 
+#: Code points of the pieces that spans are cut out of.
+PIECE = 1024
 ROLE_OPEN, ROLE_CLOSE, NEXT, END = "<|role:", "|>", "<|next|>", "<|end|>"
 
 
@@ -112,8 +114,17 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"]))), "")
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    # a span is cut out of the pieces that it lies in, so that no span is counted from the start of the string
+    cut = formatted.select("conv_id", "formatted", turns.alias("turns"), "loss_spans", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+
+    def text(s: Column) -> Column:
+        first, last = F.floor(s["start"] / PIECE).cast("int"), F.floor((s["start"] + s["length"] - 1) / PIECE).cast("int")
+        at = s["start"] % PIECE + 1
+        within = F.substring(F.get("pieces", first), at, s["length"])
+        across = F.substring(F.array_join(F.slice("pieces", first + 1, last - first + 1), ""), at, s["length"])
+        return F.when(s["length"] == 0, "").when(first == last, unescape(within)).otherwise(unescape(across))
+
+    return cut.select("conv_id", "formatted", "turns", F.array_join(F.transform("loss_spans", text), "").alias("loss_text"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

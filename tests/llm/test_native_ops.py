@@ -89,6 +89,25 @@ def test_chat(spark, tmp_path):
     assert out[1].formatted.count("<|role:") == 2
 
 
+def test_long_conversations(spark):
+    """The loss text of many turns comes back in time that grows in proportion; a null and a repeated conversation id."""
+    import time
+
+    def took(n):
+        turns = [(1, i, "user" if i % 2 else "assistant", f"turn {i} <of> many 😀 " * 5) for i in range(n)]
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        began = time.time()
+        row = chat_format.parse_conversations(chat_format.format_conversations(df)).select("loss_text").collect()[0]
+        assert row.loss_text == "".join(t[3] for t in turns[::2])
+        return time.time() - began
+
+    took(100)
+    assert took(8000) < 5 * took(2000) + 2
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "x" * 5000), (3, None, "assistant", "y" * 1024)]
+    out = {r.conv_id: r for r in chat_format.parse_conversations(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert out[None].loss_text == "x" * 5000 and len(out[None].turns) == 3 and out[3].loss_text == "y" * 1024
+
+
 def test_chat_roles(spark):
     """Roles and texts that hold parts of the template come back."""
     turns = [("a|>b", "text"), ("a", "b|>text"), ("<|end|>", "|>"), ("\\g>", ">\\g"), ("assistant", "<|role:x|>y")]
