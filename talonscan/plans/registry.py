@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talonscan.operators import findings as fo
 from talonscan.operators import packages as pk
 from talonscan.operators import rules, stats
-from talonscan.plans import audit, config, fixes, history, kernel, more, pack, policies, prompts, protection, reviews, surface, whole
+from talonscan.plans import audit, config, fixes, history, kernel, more, pack, policies, prompts, protection, reviews, streams, surface, whole
 
 FINDINGS = """
 select concat('src/f', cast(l_orderkey % 700 as string), '.ts') as file, l_linenumber * 10 + l_suppkey % 7 as line,
@@ -140,7 +140,7 @@ def queries():
         "stats_monthly": lambda s, d: stats.monthly(log(s, d)),
         "last_90_grades": lambda s, d: stats.daily_grades(log(s, d)),
         "grade_trend": lambda s, d: stats.month_trend(log(s, d)),
-    } | more.queries() | reviews.queries() | kernel.queries() | surface.queries() | config.queries() | protection.queries() | audit.queries() | pack.queries() | fixes.queries() | whole.queries() | policies.queries() | history.queries() | prompts.queries()
+    } | more.queries() | reviews.queries() | kernel.queries() | surface.queries() | config.queries() | protection.queries() | audit.queries() | pack.queries() | fixes.queries() | whole.queries() | policies.queries() | history.queries() | prompts.queries() | streams.queries()
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,4 +193,4 @@ def oracle_sql():
         "last_90_grades": g + "select day, score from (select strftime(ts, '%Y-%m-%d') as day, score, row_number() over (partition by strftime(ts, '%Y-%m-%d') order by ts desc, scan_id desc) as k from g) where k = 1 order by day desc limit 90",
         "grade_trend": g + """, m as (select strftime(ts, '%Y-%m') as month, arg_min(score, (ts, scan_id)) as first_score, arg_max(score, (ts, scan_id)) as last_score from g group by 1)
             select *, case when last_score > first_score then 'improving' when last_score < first_score then 'declining' else 'stable' end as trend from m""",
-    } | more.oracle_sql() | reviews.oracle_sql() | kernel.oracle_sql() | surface.oracle_sql() | config.oracle_sql() | protection.oracle_sql() | audit.oracle_sql() | pack.oracle_sql() | fixes.oracle_sql() | whole.oracle_sql() | policies.oracle_sql() | history.oracle_sql() | prompts.oracle_sql()
+    } | more.oracle_sql() | reviews.oracle_sql() | kernel.oracle_sql() | surface.oracle_sql() | config.oracle_sql() | protection.oracle_sql() | audit.oracle_sql() | pack.oracle_sql() | fixes.oracle_sql() | whole.oracle_sql() | policies.oracle_sql() | history.oracle_sql() | prompts.oracle_sql() | streams.oracle_sql(matches)

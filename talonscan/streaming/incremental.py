@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talonscan.functions.tables import shared_dir
 from talonscan.operators.rules import PACK, line_matches
 
 FILES = "file string, content string, modified timestamp"
@@ -25,3 +28,27 @@ def windowed_findings(log: DataFrame, width: str = "1 hour", delay: str = "10 mi
     """(ts, tool, n_findings) to scans and findings of tumbling windows; later rows than the delay are left out."""
     spans = log.withWatermark("ts", delay).groupBy(F.window("ts", width), "tool").agg(F.count("*").alias("scans"), F.sum("n_findings").alias("findings"))
     return spans.select(F.col("window.start").alias("start"), "tool", "scans", "findings")
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder as a stream."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and gives its result as a table: appended rows, or the last state (mode ``complete``). State and rows lie in the shared folder."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    last = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows-{batch}")
+        last[:] = [batch]
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows-{last[0]}") if last else spark.createDataFrame([], stream.schema)
