@@ -10,8 +10,8 @@ A corpus-wide collision check makes surrogates distinct: entities whose surrogat
 entity of the corpus, draw again. Only these few exceptions are joined back to their documents.
 
 The key is the caller's secret: who has it can recompute the surrogates. Draws that keep colliding get longer (more letters or digits),
-so the check ends where a format has fewer surrogates than entities. A given name behind a neutral title (Dr) is an entity apart from that behind
-a gendered one, as its gender is not known.
+so the check ends where a format has fewer surrogates than entities. A given name is one entity behind whatever titles it stands: its gender is that of its
+gendered titles in the whole corpus, neutral where there are none or both.
 
 Defined results: null text stays null; text without personal data is unchanged; repeated rows and a null doc_id give results each;
 other columns are carried through, whatever their names (``counted`` is replaced); an empty table gives no rows. Memory is a small multiple of one text.
@@ -161,32 +161,33 @@ def _name(part: Column, gender: Column, digest: Column, attempt: Column) -> Colu
 
 
 def named_words(m: Column) -> Column:
-    """array<struct<seed,shape>> of a name behind a title."""
+    """array<struct<seed,shape,gender>> of a name behind a title; gender of given names only."""
     parts = name_parts(m)
     return F.transform(
         parts,
         lambda p, i: F.struct(
-            F.concat(F.when(i == F.size(parts) - 1, F.lit("surname:")).otherwise(F.concat(F.lit("given-"), gender_of(m), F.lit(":"))), F.lower(p)).alias("seed"),
+            F.concat(F.when(i == F.size(parts) - 1, F.lit("surname:")).otherwise(F.lit("given:")), F.lower(p)).alias("seed"),
             p.alias("shape"),
+            F.when(i == F.size(parts) - 1, "s").otherwise(gender_of(m)).alias("gender"),
         ),
     )
 
 
 def entities(m: Column, names: Column) -> Column:
-    """array<struct<seed,shape>>: what of a match gets a surrogate of its own; seed is type and canonical form. ``names``: the document's named_words."""
+    """array<struct<seed,shape,gender>>: what of a match gets a surrogate of its own; seed is type and canonical form. ``names``: the document's named_words."""
     kind = kind_of(m)
-    one = lambda seed: F.array(F.struct(seed.alias("seed"), m.alias("shape")))
-    known = F.get(F.filter(names, lambda n: F.lower(n["shape"]) == F.lower(m)), 0)["seed"]
+    one = lambda seed, gender=None: F.array(F.struct(seed.alias("seed"), m.alias("shape"), (F.lit("s") if gender is None else gender).alias("gender")))
+    known = F.get(F.filter(names, lambda n: F.lower(n["shape"]) == F.lower(m)), 0)
     return (
         F.when(kind == "name", named_words(m))
-        .when(kind == "word", one(known))
+        .when(kind == "word", one(known["seed"], known["gender"]))
         .when(kind == "email", one(F.concat(F.lit("email:"), F.lower(m))))
         .when(kind == "ip", one(F.concat(F.lit("ip:"), m)))
         .otherwise(one(F.concat(kind, F.lit(":"), number_of(m))))
     )
 
 
-def surrogate(key: str, seed: Column, shape: Column, attempt: Column) -> Column:
+def surrogate(key: str, seed: Column, shape: Column, attempt: Column, gender: Column) -> Column:
     digest = _draw(key, seed, attempt)
     longer = F.substring(digest, F.lit(1), F.floor(attempt / LONGER).cast("int"))
     kind = F.substring_index(seed, ":", 1)
@@ -194,7 +195,6 @@ def surrogate(key: str, seed: Column, shape: Column, attempt: Column) -> Column:
     email = F.concat(
         longer, F.lower(same_format(F.regexp_extract(shape, r"^(.*)\.[^.]*$", 1), digest)), F.lit("."), F.regexp_extract(shape, r"([^.]*)$", 1)
     )
-    gender = F.when(kind == "given-m", "m").when(kind == "given-f", "f").otherwise("s")
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
@@ -230,22 +230,25 @@ def _listed() -> Column:
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
-    """(seed, attempt) of the entities whose first surrogate is not their own; a corpus-wide check until none is left."""
+    """(seed, attempt, gender) of the entities whose first surrogate is not their own, or that stand behind titles of several genders; a corpus-wide check until none is left."""
     canon = lambda seed, s: F.concat(F.substring_index(seed, ":", 1), F.lit(":"), F.when(seed.rlike("^(?:card|phone|ssn):"), number_of(s)).otherwise(F.lower(s)))
     hits = found(docs.select("text")).where((F.size("matches") > 0) & (F.col("row") >= 0)).select(F.explode(F.flatten(_listed())).alias("e"))
-    known = materialize(hits.groupBy(F.col("e")["seed"].alias("seed")).agg(F.min(F.col("e")["shape"]).alias("shape")), "entities")
-    attempts = known.select("seed", "shape", F.lit(0).alias("attempt"))
+    as_ = lambda g: F.max((F.col("e")["gender"] == g).cast("int"))
+    per = hits.groupBy(F.col("e")["seed"].alias("seed")).agg(F.min(F.col("e")["shape"]).alias("shape"), *[as_(g).alias(g) for g in "mfns"])
+    gender = F.when(F.col("s") == 1, "s").when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    known = materialize(per.select("seed", "shape", gender.alias("gender"), (F.col("m") + F.col("f") + F.col("n") > 1).alias("several")), "entities")
+    attempts = known.select("seed", "shape", "gender", "several", F.lit(0).alias("attempt"))
     while True:
-        drawn = materialize(attempts.select("seed", "shape", "attempt", canon(F.col("seed"), surrogate(key, F.col("seed"), F.col("shape"), F.col("attempt"))).alias("made")), "drawn")
+        drawn = materialize(attempts.select("*", canon(F.col("seed"), surrogate(key, F.col("seed"), F.col("shape"), F.col("attempt"), F.col("gender"))).alias("made")), "drawn")
         # who drew first keeps it; the other, and whoever drew an entity of the corpus, draws again
         owner = drawn.groupBy(F.col("made").alias("_made")).agg(F.min(F.struct("attempt", "seed")).alias("owner"), F.count("*").alias("n"))
         shared = drawn.join(owner.where("n > 1"), F.col("made") == F.col("_made")).where(F.col("seed") != F.col("owner.seed")).select("seed")
         real = drawn.join(known.select(F.col("seed").alias("_s")), F.col("made") == F.col("_s"), "left_semi").select("seed")
         again = materialize(shared.union(real).distinct().select(F.col("seed").alias("_again")), "again")
         if not again.limit(1).count():
-            return drawn.where("attempt > 0").select("seed", "attempt")
+            return drawn.where("attempt > 0 or several").select("seed", "attempt", "gender")
         attempts = drawn.join(again, F.col("seed") == F.col("_again"), "left").select(
-            "seed", "shape", (F.col("attempt") + F.when(F.col("_again").isNotNull(), 1).otherwise(0)).alias("attempt")
+            "seed", "shape", "gender", "several", (F.col("attempt") + F.when(F.col("_again").isNotNull(), 1).otherwise(0)).alias("attempt")
         )
 
 
@@ -258,15 +261,16 @@ def replace_pii(docs: DataFrame, key: str, counted: str | None = "n_found") -> D
         # rows of one text have the same entities; should two texts share a hash, they share a list, of which each takes its own
         rows = rows.withColumn("of", F.xxhash64("text"))
         hits = rows.where((F.size("matches") > 0) & (F.col("row") >= 0)).select("of", F.explode(F.flatten(_listed())).alias("e")).select("of", F.col("e.seed").alias("seed")).distinct()
-        again = hits.join(redrawn, "seed").groupBy(F.col("of").alias("_of")).agg(F.collect_list(F.struct("seed", "attempt")).alias("again"))
+        again = hits.join(redrawn, "seed").groupBy(F.col("of").alias("_of")).agg(F.collect_list(F.struct("seed", "attempt", "gender")).alias("again"))
         rows = rows.join(again, F.col("of") == F.col("_of"), "left")
-        attempt = lambda seed: F.coalesce(F.get(F.filter("again", lambda a: a["seed"] == seed), 0)["attempt"], F.lit(0))
+        drawn = lambda e, name: F.get(F.filter("again", lambda a: a["seed"] == e["seed"]), 0)[name]
+        new_word = lambda e: surrogate(key, e["seed"], e["shape"], F.coalesce(drawn(e, "attempt"), F.lit(0)), F.coalesce(drawn(e, "gender"), e["gender"]))
     else:
-        attempt = lambda seed: F.lit(0)
+        new_word = lambda e: surrogate(key, e["seed"], e["shape"], F.lit(0), e["gender"])
     made = rows.select("*", _listed().alias("listed"))
 
     def new_text(m, i):
-        words = F.array_join(F.transform(F.get("listed", i), lambda e: surrogate(key, e["seed"], e["shape"], attempt(e["seed"]))), " ")
+        words = F.array_join(F.transform(F.get("listed", i), new_word), " ")
         return F.when(kind_of(m) == "name", F.concat(title_of(m), F.lit(" "), words)).otherwise(words)
 
     gaps = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).when(F.size("matches") == 0, None).when(F.col("at"), F.split("text", ANY, -1)).otherwise(F.split("text", REST, -1))

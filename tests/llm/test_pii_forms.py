@@ -48,6 +48,24 @@ def test_every_mention(spark):
     assert out[2].text == "Smith alone is nobody here."
 
 
+def test_one_person_behind_several_titles(spark):
+    """A given name is one entity in the whole corpus, with the gender of its gendered titles; brute force over planted mentions."""
+    people = [("Anna", "Gray", ["Dr.", "Ms.", "Prof."], "na"), ("Otto", "Lang", ["Dr.", "Herr"], "n"), ("Kim", "Lee", ["Mr.", "Ms."], "th"), ("Noor", "Gray", ["Dr."], "th")]
+    texts = [(f"{t} {g} {s} called.", g, s) for g, s, titles, _ in people for t in titles]
+    out = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, [(n, t, "en", "s", 1, "x") for n, (t, _, _) in enumerate(texts)]), "k").collect()}
+    given, family = {}, {}
+    for n, (text, g, s) in enumerate(texts):
+        m = re.fullmatch(r"(\S+) (\S+) (\S+) called\.", out[n])
+        assert m[1] == text.split()[0]
+        given.setdefault(g, set()).add(m[2])
+        family.setdefault(s, set()).add(m[3])
+    assert all(len(x) == 1 for x in [*given.values(), *family.values()])
+    assert len({x for v in given.values() for x in v}) == 4 and len({x for v in family.values() for x in v}) == 3
+    for g, _, _, ending in people:
+        made = next(iter(given[g]))
+        assert made.endswith(ending) and (ending != "n" or not made.endswith("na"))
+
+
 def test_key_and_names(spark):
     rows = spark.createDataFrame([(1, "call 555-123-4567 now", 5, "m", "n")], "doc_id long, text string, n_found int, matches string, listed string")
     a, b = (pii.replace_pii(rows, k).collect()[0] for k in "ab")
