@@ -146,11 +146,12 @@ def _judged(batches, word: str):
                     line = source.line_at(start)
                     if source.silenced(line, rule) or (idle and (("\n" not in text and source.once("commented", line, lambda: source.commented(line))) or source.in_string(line, start))):
                         continue
-                    match = context.Match(source, text, start, line)
-                    if any(drop(match) for drop in guards):
-                        continue
+                    if guards:
+                        match = context.Match(source, text, start, line)
+                        if any(drop(match) for drop in guards):
+                            continue
                     at.append(n)
-                    for column, value in zip(columns, (path, rule, hit["severity"], line, start, text, source.once("head", line, lambda: match.code.lstrip(context.WHITE)[:4]))):
+                    for column, value in zip(columns, (path, rule, hit["severity"], line, start, text, source.once("head", line, lambda: source.lines[line - 1].lstrip(context.WHITE)[:4]))):
                         column.append(value)
                     size += len(text)
             if size > SENT:

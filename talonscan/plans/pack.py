@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from talonscan.operators import kernel
 from talonscan.plans.kernel import SCRIPT, literals
 
-#: Rules of the large pack, made of pairs of syllables.
+#: Rules of the large pack, made of three syllables each, from all such words by regular steps.
 SYLLABLES = "th er on an re he in ed nd ha en sch ver que la de ou le un ch".split()
-PAIRS = [a + b for a in SYLLABLES for b in SYLLABLES][:375]
+WORDS = list(dict.fromkeys(a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES))[::19][:375]
 
 
 def large_pack() -> list[kernel.Rule]:
-    return [kernel.Rule(f"P{n:03d}", "low", f"[ >]{p}[a-z]+", ("html",)) for n, p in enumerate(PAIRS)]
+    return [kernel.Rule(f"P{n:03d}", "low", f"[ >]{p}[a-z]+", ("html",)) for n, p in enumerate(WORDS)]
 
 
 FIND = kernel.Rule("VG950", "high", r"\.find(?:Unique|First)\s*\(\s*\{", SCRIPT)
@@ -86,7 +86,7 @@ def queries():
 
 def oracle_sql():
     kept = [(n, r, line) for n, (_, _, _, found) in enumerate(CASES) for r, line in found]
-    pairs = ", ".join(f"('P{n:03d}', '{p}')" for n, p in enumerate(PAIRS))
+    pairs = ", ".join(f"('P{n:03d}', '{p}')" for n, p in enumerate(WORDS))
     return {
         "pack_matches": f"with r(rule_id, p) as (values {pairs}), m as (select rule_id, len(regexp_extract_all(html, '[ >]' || p || '[a-z]+')) as n from pages, r where contains(html, p)) "
         "select rule_id, sum(n)::bigint as matches, count(*) as pages from m where n > 0 group by rule_id",
