@@ -68,6 +68,13 @@ def baseline_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     return counts.select(*keys, status.alias("status"), F.when(F.col("_b") == 0, F.col("_a")).otherwise(F.col("_b")).alias("n"))
 
 
+def baseline_totals(diff: DataFrame) -> DataFrame:
+    """``baseline_diff`` to (status, n): findings by status. What is fixed is always told, 0 if nothing is; new and unchanged where there are any."""
+    count = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0))
+    rows = F.array(*[F.struct(F.lit(status).alias("status"), count(status).alias("n")) for status in ("new", "unchanged", "fixed")])
+    return diff.agg(rows.alias("rows")).select(F.inline("rows")).where("status = 'fixed' or n > 0")
+
+
 def added_lines_only(findings: DataFrame, added: DataFrame) -> DataFrame:
     """Findings on lines (file, line) that a change adds."""
     return findings.join(added, ["file", "line"], "left_semi")

@@ -64,7 +64,7 @@ def _split_at(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir):
-    return fo.baseline_diff(*_split_at(spark, sf_dir), ["rule_id", "file", "match"]).groupBy("status").agg(F.sum("n").alias("n"))
+    return fo.baseline_totals(fo.baseline_diff(*_split_at(spark, sf_dir), ["rule_id", "file", "match"]))
 
 
 def _added(spark, sf_dir):
