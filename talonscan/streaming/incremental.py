@@ -31,9 +31,9 @@ def windowed_findings(log: DataFrame, width: str = "1 hour", delay: str = "10 mi
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder as a stream."""
+    """A Parquet table of a folder as a stream; the table may be one file or a directory of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")  # a stream takes a single file only from a pattern
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

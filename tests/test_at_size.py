@@ -32,3 +32,16 @@ def test_baseline_without_fixed_findings(spark, tmp_path):
     assert same_as_sql(spark, "baseline_diff", folder) == [("fixed", "0"), ("unchanged", "6000")]
     (tmp_path / "empty").mkdir()
     assert same_as_sql(spark, "baseline_diff", folder_of(tmp_path / "empty", lineitem="select * from {t} where false")) == [("fixed", "0")]
+
+
+def test_streams_of_a_table_in_parts(spark, tmp_path):
+    folder = folder_of(tmp_path, documents="select * from {t} where false")
+    (tmp_path / "documents.parquet").unlink()
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    assert same_as_sql(spark, "stream_findings", folder, ["documents"])
+
+
+def test_stream_of_equal_rows(spark, tmp_path):
+    """Rows with one id and text, or without an id, are rows of the table each."""
+    docs = "select * from {t} union all select * from {t} where doc_id < 50 union all select * replace (null as doc_id) from {t} where doc_id < 20 union all select * replace (null as doc_id) from {t} where doc_id < 20"
+    assert same_as_sql(spark, "stream_findings", folder_of(tmp_path, documents=docs))
