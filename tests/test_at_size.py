@@ -1,7 +1,11 @@
 """Queries on tables of a shape that the small ones do not have, against their SQL."""
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
+from talonscan.operators import surface
 from talonscan.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +49,13 @@ def test_stream_of_equal_rows(spark, tmp_path):
     """Rows with one id and text, or without an id, are rows of the table each."""
     docs = "select * from {t} union all select * from {t} where doc_id < 50 union all select * replace (null as doc_id) from {t} where doc_id < 20 union all select * replace (null as doc_id) from {t} where doc_id < 20"
     assert same_as_sql(spark, "stream_findings", folder_of(tmp_path, documents=docs))
+
+
+def test_merged_tags_of_many_rows(spark):
+    """Time goes with the distinct tags of a rule, not with the rows that name them."""
+    tags = spark.range(200_000).select(F.lit("R").alias("rule_id"), F.array(F.concat(F.lit("t"), F.col("id") % 3), F.lit("gdpr"), F.lit(None).cast("string")).alias("tags"))
+    found = spark.range(20_000).select(F.lit("R").alias("rule_id"), F.array(F.lit("t1")).alias("tags"), "id")
+    began = time.time()
+    got = surface.tagged(found, tags).groupBy("tags").count().collect()
+    assert [(r.tags, r["count"]) for r in got] == [(["t1", "gdpr", "t0", "t2", None], 20_000)]
+    assert time.time() - began < 30
