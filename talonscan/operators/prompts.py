@@ -77,23 +77,51 @@ DEFAULT = Vocabulary(TECHS, SURFACES, TERMS, VAGUE)
 CODE = ["javascript", "typescript", "python", "go"]
 
 
-def mentions(text: Column, tokens: list[str]) -> Column:
-    """Whether a text has one of the tokens as words of its own, hyphens and underscores as they are or as spaces."""
+class _Text(NamedTuple):
+    """A text in lower case and, with hyphens and underscores as spaces, in plain form; and the words of both that may begin a token, to sift by."""
+
+    low: Column
+    plain: Column
+    begun: Column | None = None
+
+
+def _first(token: str) -> str:
+    """The first run of word characters of a token, which stands between others in any text that has the token."""
+    return re.search("[a-z0-9_-]+", token.lower()).group()
+
+
+def _forms(text: Column) -> _Text:
     low = F.lower(text)
-    plain = F.regexp_replace(low, "[-_]+", " ")
+    return _Text(low, F.regexp_replace(low, "[-_]+", " "))
+
+
+def mentions(text: Column | _Text, tokens: list[str]) -> Column:
+    """Whether a text has one of the tokens as words of its own, hyphens and underscores as they are or as spaces."""
+    forms = text if isinstance(text, _Text) else _forms(text)
     pattern = "(?<![a-z0-9_-])(?:" + "|".join(re.escape(t.lower()) for t in tokens) + ")(?![a-z0-9_-])"
-    return low.rlike(pattern) | plain.rlike(pattern)
+    found = forms.low.rlike(pattern) | forms.plain.rlike(pattern)
+    firsts = sorted({_first(t) for t in tokens})
+    return found if forms.begun is None else F.exists(forms.begun, lambda w: w.isin(firsts)) & found
 
 
-def _named(text: Column, concepts: list[Concept]) -> Column:
+def _named(text: _Text, concepts: list[Concept]) -> Column:
     return F.array_compact(F.array(*[F.when(mentions(text, c.tokens), c.id) for c in concepts]))
 
 
 def concepts(requests: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
-    """requests (id, prompt, context) with ``stack``, ``surfaces`` and ``terms``, the number of notions of security."""
+    """requests (id, prompt, context) with ``stack``, ``surfaces`` and ``terms``, the number of notions of security.
+
+    A text is cut into words once; only tokens that begin with one of them are looked for by pattern.
+    """
     prompt = F.coalesce("prompt", F.lit(""))
     rows = requests.select("id", prompt.alias("prompt"), F.concat(prompt, F.lit("\n"), F.coalesce("context", F.lit(""))).alias("_all"))
-    rows = rows.select("id", "prompt", _named(F.col("_all"), words.techs).alias("stack"), _named(F.col("prompt"), words.techs).alias("_own"), _named(F.col("prompt"), words.surfaces).alias("_direct"), *[mentions(F.col("prompt"), t).cast("int").alias(f"_t{n}") for n, t in enumerate(words.terms)])
+    own, every = _forms(F.col("prompt")), _forms(F.col("_all"))
+    rows = rows.select("id", "prompt", own.low.alias("_low"), own.plain.alias("_plain"), every.low.alias("_all_low"), every.plain.alias("_all_plain"))
+    firsts = sorted({_first(t) for c in (*words.techs, *words.surfaces) for t in c.tokens} | {_first(t) for ts in words.terms for t in ts})
+    begun = lambda a, b: F.filter(F.array_distinct(F.concat(*[F.split(x, "[^a-z0-9_-]+") for x in (a, b)])), lambda w: w.isin(firsts))
+    rows = rows.withColumns({"_begun": begun("_low", "_plain"), "_all_begun": begun("_all_low", "_all_plain")})
+    own, every = _Text(F.col("_low"), F.col("_plain"), F.col("_begun")), _Text(F.col("_all_low"), F.col("_all_plain"), F.col("_all_begun"))
+    rows = rows.select("id", "prompt", _named(every, words.techs).alias("stack"), _named(own, words.techs).alias("_own"), _named(own, words.surfaces).alias("_direct"), *[mentions(own, t).cast("int").alias(f"_t{n}") for n, t in enumerate(words.terms)])
     implied = F.flatten(F.array(F.array().cast("array<string>"), *[F.when(F.array_contains("_own", c.id), F.array(*map(F.lit, c.implies))).otherwise(F.array().cast("array<string>")) for c in words.techs if c.implies]))
     terms = F.lit(0)
     for n in range(len(words.terms)):
@@ -108,19 +136,19 @@ def specificity(prompt: Column, techs: Column, vague: list[str]) -> Column:
     path = lambda w: (w.contains("/") & (F.length(w) > 3)) | w.rlike(r"(?i)\.[a-z]{2,4}\z")
     code = lambda w: ~path(w) & (w.rlike("[a-z][A-Z]") | w.contains("(") | w.contains("`"))
     n = F.size(words)
-    hits = sum((mentions(plain, [v]).cast("int") for v in vague), F.lit(0))
+    hits = F.when(mentions(plain, vague), sum((mentions(plain, [v]).cast("int") for v in vague), F.lit(0))).otherwise(0)
     length = F.when(n >= 25, 2).when(n >= 12, 1).otherwise(0)
     return F.least(F.lit(4), techs * 2) + F.least(F.lit(2), F.size(F.filter(words, path))) + F.least(F.lit(2), F.size(F.filter(words, code))) + length - F.least(F.lit(2), hits) * 2
 
 
-def triage(known: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
-    """Requests with concepts to (id, verdict, score): NO_MOD, LIGHT_MOD (say what security asks for) or HEAVY_MOD (ask back too)."""
+def triage(known: DataFrame, words: Vocabulary = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Requests with concepts to (id, verdict, score): NO_MOD, LIGHT_MOD (say what security asks for) or HEAVY_MOD (ask back too). ``keep`` names columns that stay."""
     plain = F.trim(F.regexp_replace("prompt", r"\s+", " "))
     count = F.when(plain == "", 0).otherwise(F.size(F.split(plain, " ")))
-    rows = known.select("id", "surfaces", "terms", count.alias("words"), specificity(F.col("prompt"), F.size("stack"), words.vague).alias("score"))
-    specific = (F.col("words") >= FEWEST_WORDS) & (F.col("score") >= SPECIFIC)
-    nothing = (F.col("words") == 0) | ((F.size("surfaces") == 0) & (F.col("terms") == 0)) | (specific & (F.col("terms") >= AWARE))
-    return rows.select("id", F.when(nothing, "NO_MOD").when(specific, "LIGHT_MOD").otherwise("HEAVY_MOD").alias("verdict"), F.col("score").cast("bigint").alias("score"))
+    rows = known.withColumns({"_words": count, "_score": specificity(F.col("prompt"), F.size("stack"), words.vague)})
+    specific = (F.col("_words") >= FEWEST_WORDS) & (F.col("_score") >= SPECIFIC)
+    nothing = (F.col("_words") == 0) | ((F.size("surfaces") == 0) & (F.col("terms") == 0)) | (specific & (F.col("terms") >= AWARE))
+    return rows.select("id", *keep, F.when(nothing, "NO_MOD").when(specific, "LIGHT_MOD").otherwise("HEAVY_MOD").alias("verdict"), F.col("_score").cast("bigint").alias("score"))
 
 
 def rule_index(rules: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
@@ -139,9 +167,12 @@ def rule_index(rules: DataFrame, words: Vocabulary = DEFAULT) -> DataFrame:
 
 
 def matched_rules(known: DataFrame, index: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    """Requests with concepts to (id, rank, rule_id, score): the first rules by severity, score and id, one for each thing that they ask for."""
+    """Requests with concepts to (id, rank, rule_id, score): the first rules by severity, score and id, one for each thing that they ask for.
+
+    The index, made of a hand-written pack, is what is broadcast; requests never are, whatever Spark takes their size for.
+    """
     tagged = F.concat(F.transform("stack", lambda s: F.concat(F.lit("tech:"), s)), F.transform("surfaces", lambda s: F.concat(F.lit("surface:"), s)))
-    met = known.select("id", F.explode(tagged).alias("concept")).join(index, "concept")
+    met = known.select("id", F.explode(tagged).alias("concept")).join(F.broadcast(index), "concept")
     scored = met.groupBy("id", "rule_id", "severity", "key").agg(F.sum("points").alias("score"))
     order = [F.coalesce(severity_rank(F.col("severity")), F.lit(99)), F.desc("score"), F.col("rule_id")]
     one = scored.withColumn("_n", F.row_number().over(Window.partitionBy("id", "key").orderBy(*order))).where("_n = 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talonscan.functions.tables import written
 from talonscan.operators import prompts
 from talonscan.plans.kernel import literals
 
@@ -37,12 +38,16 @@ _RULES = "rule_id string, severity string, name string, description string, fix
 
 def _requests(s, d):
     texts = F.array(*[F.struct(F.lit(p).cast("string").alias("prompt"), F.lit(c).cast("string").alias("context")) for p, c in REQUESTS])
-    rows = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(REQUESTS)).cast("int").alias("n"))
-    known = prompts.concepts(rows.select("id", F.inline(F.array(F.get(texts, F.col("n"))))))
+    n = (F.col("id.key") % len(REQUESTS)).cast("int")
+    # few bytes but much work: dealt to all tasks, which a plain shuffle of small rows would be merged out of
+    part = s.read.parquet(f"{d}/part.parquet").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    keys = part.groupBy(F.col("p_partkey").alias("key")).agg(F.count("*").alias("copies")).select(F.struct("key", "copies").alias("id")).where(n >= 0)
+    known = written(prompts.concepts(keys.select("id", F.inline(F.array(F.get(texts, n))))), "requests")
     ranked = prompts.matched_rules(known, prompts.rule_index(s.createDataFrame(RULES, _RULES)))
     rules = ranked.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rule_id"))), lambda r: r["rule_id"]), ",").alias("rules"))
-    found = rows.join(prompts.triage(known), "id").join(known, "id").join(rules, "id", "left")
-    return found.groupBy("n", "verdict", F.array_join("stack", ",").alias("stack"), F.array_join("surfaces", ",").alias("surfaces"), F.coalesce("rules", F.lit("")).alias("rules")).agg(F.count("*").alias("requests"))
+    # merged: what Spark guesses for the size of either side lets it broadcast all requests
+    found = prompts.triage(known, keep=("stack", "surfaces")).hint("merge").join(rules, "id", "left")
+    return found.groupBy(n.alias("n"), "verdict", F.array_join("stack", ",").alias("stack"), F.array_join("surfaces", ",").alias("surfaces"), F.coalesce("rules", F.lit("")).alias("rules")).agg(F.sum("id.copies").alias("requests"))
 
 
 def _turns(s, d):

@@ -59,3 +59,14 @@ def test_merged_tags_of_many_rows(spark):
     got = surface.tagged(found, tags).groupBy("tags").count().collect()
     assert [(r.tags, r["count"]) for r in got] == [(["t1", "gdpr", "t0", "t2", None], 20_000)]
     assert time.time() - began < 30
+
+
+def test_triage_of_repeated_and_missing_keys(spark, tmp_path):
+    part = "select * from {t} union all select * from {t} where p_partkey < 60 union all select * replace (null as p_partkey) from {t} where p_partkey < 20 union all select * replace (-p_partkey - 1 as p_partkey) from {t} where p_partkey < 20"
+    assert same_as_sql(spark, "prompt_triage", folder_of(tmp_path, part=part))
+
+
+def test_triage_broadcasts_no_requests(spark):
+    """Only the index of rules is broadcast, however small Spark takes the table of requests for."""
+    plan = registry.queries()["prompt_triage"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "BuildLeft" not in plan
