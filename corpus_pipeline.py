@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: 0.8 or more of five-word shingles in common."""
+    """Keeps one document of each group of near copies: 0.8 or more of five-word shingles in common, by SimHash and BK-trees."""
     return near_copies.keep_one(docs)
 
 

@@ -1,11 +1,22 @@
-"""Near copies by Jaccard similarity of word shingles, for the pipeline.
+"""Near copies by SimHash and BK-trees, for the pipeline: links at a Jaccard similarity of word shingles.
 
-Rows with equal shingle sets are one class. Classes get MinHash band keys: two sets of similarity s share a key with
-probability 1 - (1 - s^ROWS)^BANDS, which leaves out 3 pairs in 100,000 at 0.8 and fewer above. A radius over SimHash
-cannot take their place: at 12 to 16 of 64 bits, buckets and BK-trees no longer prune. Every link is decided by the exact similarity
-of the two sets, and classes that share a key are linked as all their pairs are: a bucket of more than ``SHARD``
-classes is first cut into shards that each hold the bucket's smallest class too; members still apart from it are then held
-against every member.
+Operator 3 with a similarity in the place of a radius. Rows with equal shingle sets are one class. A class has a long
+SimHash fingerprint of independent bits over its distinct shingles; two sets of similarity s (of equal size, the least
+favourable) agree in a bit with probability 1 - acos(2s / (1 + s)) / pi, 0.849 at 0.8.
+
+1. Tables key classes by sampled bits of the fingerprint, each bit in one table. Wider keys for more rows keep buckets
+   small; as many tables are searched as leave out ``MISS`` of the pairs at 0.8, fewer above.
+2. In each bucket a BK-tree over 128 bits that no key holds is searched by its members, with a radius that leaves out
+   9 pairs in a million at 0.8; 2 in a million unrelated pairs are within it. The search emits a spanning forest. Tables are searched
+   ``ROUND`` at a time, which bounds what is on disk at once.
+3. Classes so connected are a family, whose sets travel once; every link is decided by the exact similarity of two sets,
+   and a family is linked as all its pairs are.
+
+Buckets and families of more than ``SHARD`` members are cut into shards that each hold the smallest member too. What is
+then still apart from the root that most members have is held against every member.
+
+These are calculations for sums of many shingles. They hold from 8 shingles on; a set of 4 in one of 5 agrees in a
+bit with 0.8125, and such a pair may be missed.
 
 Defined results: null text has no words, and texts without words are copies of each other; fewer words than a
 shingle are one shingle. Rows count, not ids: of each component the row with the smallest id stays, rows that share an id
@@ -14,22 +25,35 @@ or have none like any others. Other columns are carried through; an empty table
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talonscan.llm.common import complete_groups, materialize, min_label_components
-from talonscan.llm.simhash import LOWER
-from talonscan.llm.suffix_dedup import _ordered
+from talonscan.llm.common import complete_groups, discard, materialize, min_label_components, release_shuffles
+from talonscan.llm.simhash import CHUNK, LOWER, merge, popcount, search_forest
+from talonscan.llm.suffix_dedup import _mix, _ordered
 
 WIDTH = 5
 #: Least similarity, in hundredths.
 LEAST = 80
-ROWS, BANDS = 4, 20
+#: Share of the pairs at that similarity that share no bucket.
+MISS = 3e-5
+#: Bits searched in a bucket, as 64-bit words, and their radius.
+WORDS, RADIUS = 2, 38
 SHARD = 1024
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+ROUND = 40
+
+
+def tables_for(rows: int, least: int = LEAST) -> tuple[int, int]:
+    """Bits of a key and number of tables: about 16 to 32 random fingerprints in a bucket."""
+    bits = min(max(rows.bit_length() - 5, 8), 24)
+    agree = 1 - math.acos(2 * least / (100 + least)) / math.pi
+    return bits, math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -45,31 +69,76 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """BANDS keys of a set; none of an empty one."""
-    if not len(hashes):
-        return []
-    low = np.full(ROWS * BANDS, ~np.uint64(0))
-    for a in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[a : a + 2048] * _FACTORS[0] + _FACTORS[1]).min(axis=1))
-    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+def fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of ``words`` times 64 bits over distinct shingles."""
+    seeds = _mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    counts = np.zeros(64 * words, np.int64)
+    for a in range(0, len(hashes), 255):  # what a byte can count
+        mixed = _mix(hashes[a : a + 255, None] ^ seeds)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
-def _sketches(batches):
+def _prints(batches, words: int):
     for batch in batches:
-        classes, keys, at = [], [], [0]
+        classes, prints = [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
             classes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-            keys += band_keys(s)
-            at.append(len(keys))
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), signed(classes), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(keys))], ["ord", "class", "keys"])
+            prints.append(fingerprint(s, words) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], ["ord", "class", "print"])
+
+
+def _keys(batches, bits: int, first: int, last: int):
+    """(ord, print) to a row (key, ord, a, b) for each table from first to last: its bucket and the words to search."""
+    weights = (1 << np.arange(bits)).astype(np.float32)  # exact up to 24 bits
+    names = np.arange(first, last, dtype=np.int64) << 32
+    begin = 64 * WORDS + first * bits
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            sampled = np.unpackbits(prints, axis=1)[:, begin : begin + (last - first) * bits]
+            keys = (sampled.reshape(part.num_rows, last - first, bits).astype(np.float32) @ weights).astype(np.int64) + names
+            words = np.ascontiguousarray(prints[:, : 8 * WORDS]).view(np.int64)
+            each = lambda x: pa.array(np.repeat(x, last - first))
+            ords = part.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each(ords), each(words[:, 0]), each(words[:, 1])], ["key", "ord", "a", "b"])
+
+
+def _near(batches):
+    """Rows (gid, ord, root, lead, a, b), sorted by gid, to links (item, hub) that connect what all pairs within the radius do, given that equal roots are connected."""
+
+    def take(rows):
+        gid, ord_, root = (rows.column(k).to_numpy() for k in range(3))
+        fp = np.stack([rows.column(k).to_numpy() for k in (4, 5)], axis=1).view(np.uint64)
+        order = np.lexsort((ord_, ~rows.column(3).to_numpy(zero_copy_only=False), gid))
+        gid, ord_, root, fp = gid[order], ord_[order], root[order], fp[order]
+        new = np.concatenate([[True], gid[1:] != gid[:-1]])
+        group = np.cumsum(new) - 1
+        top = np.flatnonzero(new)[group]
+        label = np.arange(len(gid))
+        # one fingerprint is one node
+        alike = np.lexsort((fp[:, 1], fp[:, 0], group))
+        first = np.concatenate([[True], (np.diff(group[alike]) != 0) | (fp[alike[1:]] != fp[alike[:-1]]).any(axis=1)])
+        t = np.sort(alike[first])
+        label = merge(label, alike, alike[first][np.cumsum(first) - 1])
+        # what is known to be connected with the top of its tree has no need to search
+        known = (root == root[top]) | (popcount(fp ^ fp[top]) <= RADIUS)
+        label = merge(label, np.flatnonzero(known), top[known])
+        q = t[~known[t]]
+        for a, b in search_forest(fp[t], group[t], fp[q], group[q], RADIUS, 1024):
+            label = merge(label, q[a], t[b])
+        moved = np.flatnonzero(label != np.arange(len(gid)))
+        yield pa.RecordBatch.from_arrays([pa.array(ord_[moved]), pa.array(ord_[label[moved]])], ["item", "hub"])
+
+    return complete_groups(batches, CHUNK, take)
 
 
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["ord", "hashes"])
+        sets = pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["key", "ord", "hashes"])
 
 
 def spanning(ord_: np.ndarray, root: np.ndarray, sets: list[np.ndarray], least: int = LEAST):
@@ -101,10 +170,12 @@ def spanning(ord_: np.ndarray, root: np.ndarray, sets: list[np.ndarray], least:
     return items, hubs
 
 
-def _links(batches):
+def _similar(batches):
+    """Rows (gid, ord, root, lead, hashes), sorted by gid, to links (item, hub) that connect what all similar pairs do, given that equal roots are connected."""
+
     def take(rows):
         gid, ord_, root = (rows.column(k).to_numpy() for k in range(3))
-        sets = [np.frombuffer(b, np.uint64) for b in rows.column(3).to_pylist()]
+        sets = [np.frombuffer(b, np.uint64) for b in rows.column(4).to_pylist()]
         edges = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]]).tolist()
         items, hubs = [], []
         for a, b in zip(edges, edges[1:]):
@@ -116,51 +187,69 @@ def _links(batches):
     return complete_groups(batches, 512, take)
 
 
-def _linked(dealt: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """dealt (gid, ord, root) to links within each gid."""
-    rows = dealt.join(sets, "ord").select("gid", "ord", "root", "hashes")
-    return materialize(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links, "item bigint, hub bigint"), label)
-
-
-def components(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """Rows with a distinct ``ord`` to classes (ord: their smallest) and (item, root) of the classes linked with others."""
-    prints = materialize(docs.select("ord", "text").mapInArrow(_sketches, "ord bigint, class bigint, keys array<bigint>"), "prints")
-    classes = materialize(prints.groupBy("class").agg(F.min("ord").alias("ord")).select("ord"), "classes")
-    banded = prints.join(classes, "ord", "left_semi").select("ord", F.explode("keys").alias("key"))
-    # buckets with the same members are one
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("ord")).alias("x"), F.min("ord").alias("hub")).where("n > 1")
-    buckets = materialize(buckets.groupBy("n", "x", "hub").agg(F.min("key").alias("key")).select("key", "hub", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "buckets")
-    shared = materialize(banded.join(buckets, "key").select("key", "ord", "hub", "shards"), "shared")
-    wanted = shared.select("ord").distinct()
-    sets = materialize(docs.select("ord", "text").join(wanted, "ord", "left_semi").mapInArrow(_sets, "ord bigint, hashes binary"), "sets")
-
+def connect(rows: DataFrame, solve, shard: int, label: str) -> DataFrame:
+    """rows (key, ord, payload) to links (item, hub), written, that connect what ``solve`` links within each key."""
+    payload = rows.columns[2:]
+    wide = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("top")).where(f"n > {shard}")
+    wide = materialize(wide.select(F.col("key").alias("_key"), "top", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "wide")
+    on = F.col("key") == F.col("_key")
     own = lambda n: F.pmod(F.xxhash64("ord"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    shards = F.when(F.col("ord") == F.col("hub"), every(F.col("shards"))).otherwise(F.array(own(F.col("shards"))))
-    dealt = shared.select("key", "ord", F.explode(shards).alias("s")).select(F.xxhash64("key", "s").alias("gid"), "ord", F.col("ord").alias("root"))
-    links = _linked(dealt, sets, "links")
-    roots = min_label_components(links)
 
-    wide = shared.where("shards > 1")
+    def solved(dealt, what):
+        dealt = dealt.select("gid", "ord", "root", "lead", *payload).repartition("gid").sortWithinPartitions("gid")
+        return materialize(dealt.mapInArrow(solve, "item bigint, hub bigint"), what)
+
+    alone = F.lit(True).alias("lead")
     if not wide.limit(1).count():
-        return classes, roots
-    named = wide.join(roots, wide["ord"] == roots["item"], "left").select("key", "ord", "hub", "shards", F.coalesce("root", "ord").alias("root"))
+        return solved(rows.select(F.col("key").alias("gid"), "ord", F.col("ord").alias("root"), alone, *payload), label)
+    shards = F.when(F.col("_key").isNull(), F.array(F.lit(0))).when(F.col("ord") == F.col("top"), every(F.col("shards"))).otherwise(F.array(own(F.col("shards"))))
+    dealt = rows.join(wide, on, "left").select("key", "ord", *payload, F.explode(shards).alias("s"))
+    links = solved(dealt.select(F.xxhash64("key", "s").alias("gid"), "ord", F.col("ord").alias("root"), alone, *payload), label)
+
+    roots = min_label_components(links)
+    named = rows.join(wide, on).join(roots, F.col("ord") == roots["item"], "left").select("key", "ord", "shards", F.coalesce("root", "ord").alias("root"), *payload)
     named = materialize(named, "named")
-    main = named.where("ord = hub").select(F.col("key").alias("_key"), F.col("root").alias("main"))
-    named = named.join(main, F.col("key") == F.col("_key"))
-    apart = named.where("root <> main").groupBy("key").agg(F.ceil(F.count("*") / shard).cast("int").alias("others"))
-    named = materialize(named.join(apart, "key"), "apart")
-    if not named.limit(1).count():
-        return classes, roots
-    members = named.select("key", "ord", "root", own(F.col("shards")).alias("s"), F.explode(every(F.col("others"))).alias("t"))
-    others = named.where("root <> main").select("key", "ord", "root", F.explode(every(F.col("shards"))).alias("s"), own(F.col("others")).alias("t"))
-    dealt = members.union(others).select(F.xxhash64("key", "s", "t").alias("gid"), "ord", "root")
-    return classes, min_label_components(links.union(_linked(dealt, sets, "links")))
+    held = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = held.groupBy(F.col("key").alias("_key")).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = materialize(main.where("`all` > most").select("_key", "main", F.ceil((F.col("all") - F.col("most")) / shard).cast("int").alias("others")), "main")
+    if not main.limit(1).count():
+        return links
+    named = named.join(main, on).withColumn("lead", F.col("root") == F.col("main"))
+    members = named.select("*", own(F.col("shards")).alias("s"), F.explode(every(F.col("others"))).alias("t"))
+    others = named.where("not lead").select("*", F.explode(every(F.col("shards"))).alias("s"), own(F.col("others")).alias("t"))
+    dealt = members.union(others).select(F.xxhash64("key", "s", "t").alias("gid"), "ord", "root", "lead", *payload)
+    return materialize(links.union(solved(dealt, "apart")), label)
+
+
+def components(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with a distinct ``ord`` to (ord, class), classes (ord: their smallest) and (item, root) of the classes linked with others."""
+    bits, tables = tables_for(docs.count())
+    words = WORDS + -(-bits * tables // 64)
+    prints = materialize(docs.select("ord", "text").mapInArrow(lambda b: _prints(b, words), "ord bigint, class bigint, print binary"), "prints")
+    classes = materialize(prints.groupBy("class").agg(F.min("ord").alias("ord")).select("ord"), "classes")
+    printed = materialize(prints.where("print is not null").join(classes, "ord", "left_semi").select("ord", "print"), "printed")
+    near = []
+    for first in range(0, tables, ROUND):
+        last = min(first + ROUND, tables)
+        keyed = printed.mapInArrow(lambda b, first=first, last=last: _keys(b, bits, first, last), "key bigint, ord bigint, a bigint, b bigint")
+        near.append(connect(keyed, _near, shard, "near"))
+        release_shuffles(docs.sparkSession)
+    families = min_label_components(reduce(DataFrame.union, near)).select(F.col("root").alias("key"), F.col("item").alias("_ord"))
+    members = docs.select("ord", "text").join(families, F.col("ord") == F.col("_ord")).select("key", "ord", "text")
+    members = materialize(members.mapInArrow(_sets, "key bigint, ord bigint, hashes binary"), "members")
+    links = connect(members, _similar, shard, "links")
+    for done in (printed, members, *near):
+        discard(done)
+    return prints, classes, min_label_components(links)
 
 
 def keep_one(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row of each component."""
     rows = _ordered(docs)
-    classes, roots = components(rows, shard)
+    prints, classes, roots = components(rows, shard)
     kept = classes.join(roots.where("root <> item"), F.col("ord") == F.col("item"), "left_anti")
-    return rows.join(kept, "ord", "left_semi").select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+    gone = materialize(prints.select("ord").join(kept, "ord", "left_anti"), "gone")
+    discard(prints)
+    discard(classes)
+    return rows.join(gone, "ord", "left_anti").select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])

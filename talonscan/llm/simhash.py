@@ -84,15 +84,19 @@ def bucket_keys(blocks: int, radius: int = RADIUS):
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
+    """Bits set in each number, or in each row of numbers."""
+    bits = np.bitwise_count(x).astype(np.int64)
+    return bits if bits.ndim == 1 else bits.sum(axis=1)
 
 
-def search_forest(tree_fp: np.ndarray, tree_group: np.ndarray, query_fp: np.ndarray, query_group: np.ndarray, radius: int = RADIUS):
-    """Yields (query index, node index) arrays of pairs within the radius and in one group.
+def search_forest(tree_fp: np.ndarray, tree_group: np.ndarray, query_fp: np.ndarray, query_group: np.ndarray, radius: int = RADIUS, block: int = 4096):
+    """Yields (query index, node index) arrays of pairs within the radius and in one group, ``block`` queries at a time.
 
-    One BK-tree for each group over distinct fingerprints; ``tree_group`` is sorted and dense from 0.
+    One BK-tree for each group over distinct fingerprints; ``tree_group`` is sorted and dense from 0. A fingerprint is
+    a number of 64 bits or a row of them.
     """
     n = len(tree_fp)
+    edges = 1 + 64 * tree_fp[:1].size  # distances that two fingerprints can have
     root_of = np.flatnonzero(np.concatenate([[True], tree_group[1:] != tree_group[:-1]])) if n else np.zeros(0, np.int64)
     root_at = np.full(int(max(tree_group.max(initial=-1), query_group.max(initial=-1))) + 1, -1, np.int64)
     root_at[tree_group[root_of]] = root_of
@@ -101,7 +105,7 @@ def search_forest(tree_fp: np.ndarray, tree_group: np.ndarray, query_fp: np.ndar
     parents, dists, nodes = [], [], []
     while len(pending):
         d = popcount(tree_fp[pending] ^ tree_fp[at])
-        key, first, back = np.unique(at * 65 + d, return_index=True, return_inverse=True)
+        key, first, back = np.unique(at * edges + d, return_index=True, return_inverse=True)
         child = pending[first]
         parents.append(at[first])
         dists.append(d[first])
@@ -113,8 +117,8 @@ def search_forest(tree_fp: np.ndarray, tree_group: np.ndarray, query_fp: np.ndar
     order = np.argsort(parent, kind="stable")
     dist, node = dist[order], node[order]
     begin = np.searchsorted(parent[order], np.arange(n + 1))
-    for a in range(0, len(query_fp), 4096):
-        q = np.arange(a, min(a + 4096, len(query_fp)))
+    for a in range(0, len(query_fp), block):
+        q = np.arange(a, min(a + block, len(query_fp)))
         v = root_at[query_group[q]]
         q, v = q[v >= 0], v[v >= 0]
         while len(q):
@@ -130,6 +134,21 @@ def search_forest(tree_fp: np.ndarray, tree_group: np.ndarray, query_fp: np.ndar
             q, v = q[src[follow]], node[e[follow]]
 
 
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each the index of a row with that label) after x and y, pair by pair, are given one label."""
+    while True:
+        p, r = label[x], label[y]
+        apart = p != r
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(p, r)[apart], np.minimum(p, r)[apart])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
 def _links(batches, radius: int):
     """Rows (gid, diagonal, tree, fp), sorted by gid, to spanning links (item, hub)."""
 
@@ -140,18 +159,7 @@ def _links(batches, radius: int):
         label = np.arange(len(gid))
         u = fp.view(np.uint64)
         for a, b in search_forest(u[t], group[t], u[q], group[q], radius):
-            x, y = q[a], t[b]
-            while True:
-                p, r = label[x], label[y]
-                apart = p != r
-                if not apart.any():
-                    break
-                np.minimum.at(label, np.maximum(p, r)[apart], np.minimum(p, r)[apart])
-                while True:
-                    up = label[label]
-                    if (up == label).all():
-                        break
-                    label = up
+            label = merge(label, q[a], t[b])
         moved = np.flatnonzero(label != np.arange(len(gid)))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["item", "hub"])
 

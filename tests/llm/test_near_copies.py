@@ -3,8 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from talonscan.llm import near_copies
+from talonscan.llm import near_copies, simhash
 from tests.llm.edge import ROWS, frame
 
 
@@ -86,3 +89,59 @@ def test_rows_not_ids(spark):
     rows = [row(1, a), row(1, b), row(2, b), row(None, b + " x y z p q r s"), row(None, b + " x y z p q r s")]
     got = sorted((str(r.doc_id), r.text) for r in near_copies.keep_one(frame(spark, rows)).collect())
     assert got == sorted([("1", a), ("1", b), ("None", b + " x y z p q r s")])
+
+
+def test_fingerprints_agree_as_calculated():
+    """Pairs at 0.8 share a bucket and lie within the radius; unrelated sets do not lie within it."""
+    rng = np.random.default_rng(4)
+    bits, tables = near_copies.tables_for(200_000)
+    words = near_copies.WORDS + -(-bits * tables // 64)
+    sets = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    print_ = lambda s: np.unpackbits(np.frombuffer(near_copies.fingerprint(s, words), np.uint8))
+    shares = []
+    for size in (9, 45, 90, 270, 900):
+        for _ in range(20):
+            both = sets(size * 8 // 9)
+            a, b = (print_(np.concatenate([both, sets(size // 9)])) for _ in range(2))
+            same = a == b
+            shares.append(same.mean())
+            assert (~same[: 64 * near_copies.WORDS]).sum() <= near_copies.RADIUS
+            assert same[64 * near_copies.WORDS :][: bits * tables].reshape(tables, bits).all(axis=1).any()
+            assert (a != print_(sets(size)))[: 64 * near_copies.WORDS].sum() > near_copies.RADIUS
+    assert abs(np.mean(shares) - 0.849) < 0.01
+
+
+def test_bk_trees_link_what_brute_force_links():
+    """Trees of operator 3 over 128 bits, one for each bucket."""
+    assert near_copies.search_forest is simhash.search_forest
+    rng, rows = random.Random(6), []
+    for gid in range(30):
+        prints = [rng.getrandbits(128) for _ in range(3)]
+        for _ in range(40):
+            x = rng.choice(prints)
+            for at in rng.sample(range(128), rng.randrange(0, 45)):
+                x ^= 1 << at
+            prints.append(x)
+        rows += [(gid, 100 * gid + k, x) for k, x in enumerate(prints)]
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+    gids, ords, prints = zip(*rows)
+    columns = [pa.array(gids), pa.array(ords), pa.array(ords), pa.array([True] * len(rows)), signed([x & (1 << 64) - 1 for x in prints]), signed([x >> 64 for x in prints])]
+    batch = pa.RecordBatch.from_arrays(columns, ["gid", "ord", "root", "lead", "a", "b"])
+
+    def components(links):
+        root = {o: o for o in ords}
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in links:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return [find(o) for o in ords]
+
+    found = [(r["item"], r["hub"]) for b in near_copies._near([batch]) for r in b.to_pylist()]
+    brute = [(o, p) for g, o, x in rows for h, p, y in rows if g == h and o < p and (x ^ y).bit_count() <= near_copies.RADIUS]
+    assert len(found) < len(rows) and components(found) == components(brute)
+    assert len(set(components(brute))) > 31
