@@ -145,3 +145,31 @@ def test_bk_trees_link_what_brute_force_links():
     brute = [(o, p) for g, o, x in rows for h, p, y in rows if g == h and o < p and (x ^ y).bit_count() <= near_copies.RADIUS]
     assert len(found) < len(rows) and components(found) == components(brute)
     assert len(set(components(brute))) > 31
+
+
+def test_large_group_is_linked_about_once(spark, monkeypatch):
+    """A group that meets in the buckets of 34 tables: links to join, not one for each row and table."""
+    rng, rows = random.Random(7), []
+    base = [f"b{k}" for k in range(150)]
+    for k in range(400):
+        copy = list(base)
+        for n in range(rng.randrange(2, 9)):
+            copy[rng.randrange(150)] = f"v{k}x{n}"
+        rows.append(row(k, " ".join(copy)))
+    joined, solve = [], near_copies.min_label_components
+
+    def counted(links):
+        joined.append(links.distinct().count())
+        return solve(links)
+
+    monkeypatch.setattr(near_copies, "min_label_components", counted)
+    assert sorted(r.doc_id for r in near_copies.keep_one(frame(spark, rows)).collect()) == slow_kept(rows)
+    assert sum(joined) < 4 * len(rows)
+
+
+def test_known_roots_are_not_linked_again():
+    """Rows of one root, alike or not, in several buckets; each other root is linked once."""
+    gids, roots, prints = zip(*[(g, r, p) for g in range(5) for r, p in ((0, 0), (0, 1), (0, (1 << 60) - 1), (7, 3), (8, (1 << 60) - 2), (9, (1 << 30) - 1))])
+    columns = [pa.array(gids), pa.array(range(30)), pa.array(roots), pa.array([True] * 30), pa.array(prints), pa.array(prints)]
+    batch = pa.RecordBatch.from_arrays(columns, ["gid", "ord", "root", "lead", "a", "b"])
+    assert [(r["item"], r["hub"]) for b in near_copies._near([batch]) for r in b.to_pylist()] == [(7, 0), (8, 0)]
